@@ -18,7 +18,7 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=U64)
-_BASE = int(_rng.integers(0, 1 << 62)) * 8 + 5
+_BASE = int(_rng.integers(0, 1 << 61)) * 8 + 5
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _LANE = _rng.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 _powers: dict[int, np.ndarray] = {}
@@ -41,7 +41,7 @@ def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, U64)
+        have = np.full(size, U64(base), U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         _powers[base] = have
