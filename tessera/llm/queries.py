@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, neardup, pii, rules, secrets
+from . import licenses, mixing, neardup, pii, rules, secrets
 from .store import read
 
 
@@ -18,6 +18,10 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(read(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return rules.judge(docs, rules.fit(docs, read(spark, sf_dir, "labels")), ["doc_id"])
@@ -31,5 +35,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op8_pii, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op8_pii, op9_quality, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
