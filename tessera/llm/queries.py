@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, pii, rules, secrets
+from . import langid, licenses, mixing, neardup, pii, rules, secrets
 from .store import read
 
 
@@ -27,6 +28,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, read(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def _part(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == n
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(_part(0), F.lit(False))
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -35,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op8_pii, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op6_langid, op8_pii, op9_quality, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
