@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, pii, rules, secrets
+from . import html, langid, licenses, mixing, neardup, pii, rules, secrets
 from .store import read
 
 
@@ -39,6 +39,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.scan(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -47,5 +51,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op6_langid, op8_pii, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
