@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licenses, mixing, neardup, pii, rules, secrets
+from . import html, langid, licenses, mixing, neardup, pii, ppm, rules, secrets
 from .store import read
 
 
@@ -19,6 +19,13 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(read(spark, sf_dir, "documents"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = ppm.split(F.col("doc_id"), 5, 1)
+    scored = ppm.score(docs, ppm.train(docs.where(~held_out)), ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
@@ -28,13 +35,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, read(spark, sf_dir, "labels")), ["doc_id"])
 
 
-def _part(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == n
-
-
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.coalesce(_part(0), F.lit(False))
+    held_out = ppm.split(F.col("doc_id"), 5, 0)
     model = langid.fit(docs, ~held_out)
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -51,5 +54,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op3_ppm, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}
