@@ -1,7 +1,54 @@
-"""The corpus pipeline: each stage works on what the stage before kept."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-dedup, decontamination, PII masking, mixing.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept, and returns a
+DataFrame; all but the last return the columns of the documents.  ``run`` writes each stage's result
+as Parquet in the shared folder and reads it again for the next.
+
+Rows whose id is null are kept by near-dedup: they can't be named as duplicates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontam, mixing, neardup, pii, rules
+from tessera.llm.store import read, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor the learned decision list rejects."""
+    return rules.select(docs, rules.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near-duplicates."""
+    gone = table(neardup.link(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.mask(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training blocks, a row a slot of an output shard."""
+    return mixing.blocks(docs)
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("PII masking", mask_pii), ("mixing", mix)]
+#: SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, licenses, mixing, neardup, pii, ppm, rules, secrets
+from . import decontam, html, langid, licenses, mixing, neardup, pii, ppm, rules, secrets
 from .store import read
 
 
@@ -26,6 +26,10 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op3_ppm, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op3_ppm, op4_decontam, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
 ORACLE_SQL: dict[str, str] = {}

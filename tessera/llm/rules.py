@@ -262,3 +262,11 @@ def judge(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     d = measure(docs, keep)
     rule = rejected(rules)
     return d.select(*keep, *(F.col(STATS)[c].alias(c) for c in COUNTS[:5]), base_failed().alias("base_failed"), (~base_failed() & rule.isNull()).alias("kept"), rule.alias("rule"))
+
+
+def select(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept; all columns stay, nothing is shuffled."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*names)
+    kept = measure(d, names, names[docs.columns.index(text)]).where(~base_failed() & rejected(rules).isNull())
+    return kept.select(*names).toDF(*docs.columns)
