@@ -211,6 +211,6 @@ def scan(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(h) for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64(), len(texts))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
