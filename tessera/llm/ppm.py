@@ -37,7 +37,7 @@ from .store import ship, table
 
 HEAVY = 1 << 17
 ORDER, FLOOR = 5, 1 << 19
-SCORE_BYTES = 1 << 18
+SCORE_BYTES, COUNT_BYTES = 1 << 18, 1 << 21
 _END = 255
 _WORD, _GRAM = 0, 1
 _ODD = K.U64(0x9E3779B97F4A7C15)
@@ -232,22 +232,16 @@ def train(docs: DataFrame, text: str = "text", floor: int = FLOOR) -> Model:
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
-    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(inverse, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+    def rows(kind: int, keys: np.ndarray) -> pa.RecordBatch:
+        keys, n = np.unique(keys, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, grams = [], []
-            for chunk in K.chunks(batch.column("text")):
+            for chunk in K.chunks(batch.column("text"), COUNT_BYTES):
                 low = chunk.lowered()
-                words.append(np.unique(K.words(low, K.NOT_SPACE).hashes(), return_counts=True))
-                grams.append(np.unique(_row_codes(low), return_counts=True))
-            if not words:
-                continue
-            for kind, parts in ((_WORD, words), (_GRAM, grams)):
-                keys, n = summed(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(K.U64).view(np.int64)), pa.array(n)], names=schema.names)
+                yield rows(_WORD, K.words(low, K.NOT_SPACE).hashes())
+                yield rows(_GRAM, _row_codes(low))
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, schema).groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counted = table(counted, "lm-counts")
