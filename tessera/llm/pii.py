@@ -35,6 +35,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_GROUP = re.compile(r"[0-9]+")
+_SHAPES = [[4, 4, 4, 4], [4, 6, 5], [16], [15]]
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
 #: IBAN lengths of the public registry.
 _IBAN_LENGTH = dict(
     x.split(":")
@@ -90,6 +94,21 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _cards_within(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """Cards in a run of digits that isn't one as a whole: groups as issuers print them, with their prefix and a right check digit."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, a, b)]
+    found, i = [], 0
+    while i < len(groups):
+        for shape in _SHAPES:
+            part = groups[i : i + len(shape)]
+            if [y - x for x, y in part] == shape and _ISSUER.match(d := _digits(text[part[0][0] : part[-1][1]])) and luhn(d):
+                found.append(("card", part[0][0], part[-1][1]))
+                i += len(shape) - 1
+                break
+        i += 1
+    return found
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's prior, raised by a context word nearby."""
     near = text[max(0, start - CONTEXT) : start] + " \0 " + text[end : end + CONTEXT]
@@ -97,8 +116,8 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 
 
 def extra(text: str) -> list[tuple[str, int, int]]:
-    """Spans beyond the base list: bank accounts with a right checksum, social security numbers that the context supports."""
-    found = []
+    """Spans beyond the base list: bank accounts with a right checksum, cards that stand next to other digits, and social security and local phone numbers that the context supports."""
+    found: list[tuple[str, int, int]] = []
     if not _DIGIT.search(text):
         return found
     for m in _IBAN.finditer(text):
@@ -110,6 +129,12 @@ def extra(text: str) -> list[tuple[str, int, int]]:
             end += 1
         if want and seen == want and not text[end : end + 1].isalnum() and mod97(text[m.start() : end].replace(" ", "")):
             found.append(("iban", m.start(), end))
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() > 14 and not (14 <= len(d := _digits(m.group())) <= 19 and luhn(d)):
+            found += _cards_within(text, *m.span())
+    for m in _LOCAL_PHONE.finditer(text):
+        if score(text, "phone", *m.span()) >= 1.0:
+            found.append(("phone", *m.span()))
     if "-" in text:
         for m in _SSN.finditer(text):
             if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" and score(text, "ssn", *m.span()) >= THRESHOLD:
