@@ -59,4 +59,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op3_ppm, op4_decontam, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be said in SQL, or not without what is learned or drawn; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": r"""with recursive
+w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as h from s),
+pairs as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from x a join x b on a.h = b.h and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select a, b from pairs where 100 * c >= 70 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+c as (select a, min(b) as component_id from reach group by a)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from s join c on doc_id = a"""
+}
