@@ -36,8 +36,6 @@ WALKS, TABLES, BITS = 8, 192, 2
 #: Item text that is broadcast at once; more items are searched in as many blocks, each over all documents.
 BLOCK_BYTES = 16 << 20
 _PAD = K.U64(0)
-_rng = np.random.default_rng(17)
-_STEP = _rng.integers(0, 1 << 63, (WALKS, 4096), dtype=K.U64) * K.U64(2) + K.U64(1)
 
 
 def allowed(n: int) -> int:
@@ -45,11 +43,9 @@ def allowed(n: int) -> int:
     return max(0, min(int(SHARE * n), n // SEED_WORDS - 1))
 
 
-def _steps(n: int) -> np.ndarray:
-    global _STEP
-    if _STEP.shape[1] < n:
-        _STEP = np.concatenate([_STEP, _rng.integers(0, 1 << 63, (WALKS, n), dtype=K.U64) * K.U64(2) + K.U64(1)], axis=1)
-    return _STEP
+def _steps(walk: int, n: int) -> np.ndarray:
+    """The random multipliers of a walk's steps; the same everywhere, at any length."""
+    return K.mix(np.arange(n, dtype=K.U64) + K.U64((walk + 1) << 40)) | K.U64(1)
 
 
 def folded(column: pa.Array) -> Iterator[K.Chunk]:
@@ -60,7 +56,7 @@ def folded(column: pa.Array) -> Iterator[K.Chunk]:
 def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
     """The CGK embeddings of the runs ``words[start : start+length]``: ``[run, 3 * longest]``."""
     size = 3 * int(lengths.max())
-    steps = _steps(size)[walk]
+    steps = _steps(walk, size)
     words = np.append(words, _PAD)
     ends = starts + lengths
     at = starts.copy()
