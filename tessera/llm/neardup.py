@@ -35,6 +35,8 @@ from .store import semi_join, ship, table
 WIDTH, M, K_EACH, PERCENT = 5, 18, 2, 70
 #: Key tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Classes whose keys one task makes.
+KEYED_ROWS = 8_000
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 1 << 63, M * K_EACH, dtype=K.U64) * K.U64(2) + K.U64(1)
 _C = K.U64(0x9FB21C651E98DF25)
@@ -126,7 +128,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     # buckets: one aggregation over the keys; those of two classes are a pair already
     keys = F.array(*(F.xxhash64(F.lit(i * M + j), _SIG[i], _SIG[j]) for i, j in combinations(range(M), 2)))
-    keyed = classes.select("rep", F.explode(keys).alias("key"))
+    # cut by number of keys, not by bytes: a class of a few bytes makes M*(M-1)/2 keys
+    parts = max(1, -(-classes.count() // KEYED_ROWS))
+    keyed = classes.repartition(parts, "rep").select("rep", F.explode(keys).alias("key"))
     buckets = table(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("c")).where("a < b"), "buckets")
     large = buckets.where("c > 2").select("key", "a")
     small = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
