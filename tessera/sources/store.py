@@ -92,6 +92,10 @@ class TripleStore:
         df.write.parquet(f"{self.path}/{name}")
         return name
 
+    def _drop(self, name: str) -> None:
+        jvm, fs, root = self._fs()
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+
     def _read(self, names: list[str], schema: T.StructType) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)
@@ -149,8 +153,7 @@ class TripleStore:
         m["iris"] = [self._write(terms.where(~F.col("value").startswith('"')), "iris", "hash")]
         m["literals"] = [self._write(terms.where(F.col("value").startswith('"')), "literals", "hash")]
         self._commit(m)
-        jvm, fs, root = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, staged), True)
+        self._drop(staged)
         self.reindex()
         return {"duration": time.time() - began, "count": self.graph().quads().count()}
 

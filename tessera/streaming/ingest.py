@@ -26,6 +26,7 @@ def append(store: TripleStore, quads: DataFrame) -> None:
         terms = new_terms(text, store._read(m[kind], TERMS)).where(F.col("value").startswith('"') == literal)
         m[kind] = [*m[kind], store._write(terms, kind, "hash")]
     store._commit(m)
+    store._drop(staged)
 
 
 def ingest(spark: SparkSession, source: str, store: TripleStore, checkpoint: str, once: bool = False) -> StreamingQuery:
