@@ -25,7 +25,9 @@ from . import kernel as K
 from .store import ship
 
 #: Labelled rows that a list is learnt from, at most.
-MAX_FIT_ROWS = 20_000
+MAX_FIT_ROWS = 40_000
+#: Of so many good rows, a rule that rejects few rows must reject none.
+CLEAN_ROWS = 2_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_marks", "n_chars", "n_word_kinds"]
 FEATURES = ["n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "words_per_line", "digit_share", "upper_share", "mark_share", "kind_share"]
 STATS = "_quality_stats"
@@ -212,7 +214,8 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, max_rules: int = 12, max_conditions: int = 4, seed: int = 7) -> list[Rule]:
-    """A decision list that rejects; a rule stays only if its Laplace-corrected precision on the pruning part is at least ``precision``."""
+    """A decision list that rejects; a rule stays only if its Laplace-corrected precision on the
+    pruning part is at least ``precision``, or if it rejects none of at least ``CLEAN_ROWS`` good rows."""
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
     x, bad = np.asarray(x, float), np.asarray(bad, bool)
@@ -223,7 +226,9 @@ def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, max_rules: int
         hit = rule.holds(x)
         held = hit & ~part
         right = int((held & bad).sum())
-        if not rule.conditions or right + 1 < precision * (held.sum() + 2) or (hit & bad).sum() < precision * hit.sum():
+        sure = right + 1 >= precision * (held.sum() + 2) and (hit & bad).sum() >= precision * hit.sum()
+        clean = (hit & bad).sum() >= 3 and not (hit & ~bad).any() and (~bad).sum() >= CLEAN_ROWS
+        if not rule.conditions or not (sure or clean):
             misses += 1
             continue
         rules.append(rule)
