@@ -31,7 +31,7 @@ TOTAL_SHARE, MOST = 1.5, 2.0
 #: Slots of an output shard; a shard count beyond ``MAX_SHARDS`` makes shards larger.
 SHARD_SLOTS, MAX_SHARDS = 4096, 1024
 #: Documents that are laid out together; so many rows are sorted in one task, whatever their source.
-RUN_ROWS = 4096
+RUN_ROWS = 1024
 MAX_SOURCES = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
