@@ -32,10 +32,15 @@ def _stemmed(s: pd.Series) -> pd.Series:
     return s.map(lambda ws: None if ws is None else [one(w) for w in ws])
 
 
+def folded(c: Column) -> Column:
+    """Lower case without accents; texts in ASCII skip the table of accents."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.lower(F.translate(low, _FROM, _TO))).otherwise(low)
+
+
 def tokens(c: Column, config: FtsConfig) -> Column:
     """The tokens of a text column."""
-    folded = F.lower(F.translate(F.lower(c), _FROM, _TO))
-    words = F.filter(F.split(folded, "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(folded(c), "[^a-z0-9]+"), lambda w: w != "")
     if config.stopwords == "english":
         words = F.filter(words, lambda w: ~w.isin(*sorted(STOPWORDS)))
     return _stemmed(words) if config.stemmer == "porter" else words
@@ -43,8 +48,8 @@ def tokens(c: Column, config: FtsConfig) -> Column:
 
 def query_tokens(text: str, config: FtsConfig) -> list[str]:
     """The distinct tokens of a query, by the same rules."""
-    folded = text.lower().translate(str.maketrans(_FROM, _TO)).lower()
-    words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in folded).split()]
+    low = text.lower().translate(str.maketrans(_FROM, _TO)).lower()
+    words = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in low).split()]
     if config.stopwords == "english":
         words = [w for w in words if w not in STOPWORDS]
     if config.stemmer == "porter":

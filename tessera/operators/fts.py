@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FtsConfig
-from ..functions.text import query_tokens, tokens
+from ..functions.text import folded, query_tokens, tokens
 from ..plans.materialize import ship
 
 
@@ -34,13 +34,18 @@ def search(docs: DataFrame, query: str, config: FtsConfig) -> DataFrame:
         return F.size(F.filter("t", lambda x: x == word))
 
     counts = [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    d = d.select("key", F.size("t").alias("len"), *counts)
-    n, avgdl, *df = d.agg(F.count("*"), F.avg("len"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms)))).first()
+    counted = d.select("key", F.size("t").alias("len"), *counts)
+    n, avgdl, *df = counted.agg(F.count("*"), F.avg("len"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms)))).first()
+    if config.stemmer == "none":  # a row without a term's letters needn't be cut into tokens
+        likely = docs
+        for w in terms:
+            likely = likely.where(folded(F.col("value")).contains(w))
+        counted = likely.select("key", tokens(F.col("value"), config).alias("t")).select("key", F.size("t").alias("len"), *counts)
     hit = F.lit(True)
     for i in range(len(terms)):
         hit = hit & (F.col(f"tf{i}") > 0)
     score = sum((_bm25(F.col(f"tf{i}"), F.col("len"), n, x, avgdl or 1.0, config) for i, x in enumerate(df)), F.lit(0.0))
-    return d.where(hit).select("key", score.alias("score"))
+    return counted.where(hit).select("key", score.alias("score"))
 
 
 @dataclass
