@@ -5,13 +5,12 @@ symbol that a context hasn't seen is escaped from (method C: distinct symbols ov
 distinct symbols), and the symbols of the longer context are excluded from the shorter one.  A text
 is scored with an end symbol; contexts before its first byte are the byte 0xFF, which UTF-8 never has.
 
-Counts are distributed.  Contexts of up to two bytes are held whole: ``2**24`` cells at most.  A longer
-node is held if it makes up at least one in ``FLOOR`` of all training bytes, so at most ``FLOOR`` are, an
-order; the counts below the floor count as escapes of their context.  These bounds are what is
-broadcast.  Below ``FLOOR`` training bytes the trie is complete.
-
-The word model has no bound, so words stay distributed too: those that make up at least one in
-``HEAVY`` of the training tokens number at most ``HEAVY`` and are broadcast; all others are joined by shuffle.
+Every counted run and word is kept.  Contexts of up to two bytes have ``2**24`` cells at most and are
+broadcast; all longer runs, and the words, stay distributed.  What a symbol costs depends only on the
+run of ``ORDER + 1`` bytes that it ends, and all contexts of that run end in the same three bytes: counts
+are dealt to buckets by these bytes, so that a bucket rates its runs by itself.  The texts to be scored
+are dealt to blocks of about ``BLOCK_BYTES``; a block asks once for each of its distinct runs and
+words, and its texts are joined with the answers.
 
 Defined results: a null or empty text is scored as its end alone; very long texts are scored
 whole; rows that repeat an id are scored one by one; a null id counts as training; with no training
@@ -27,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +34,8 @@ from pyspark.sql import types as T
 from . import kernel as K
 from .store import ship, table
 
-HEAVY = 1 << 17
-ORDER, FLOOR = 5, 1 << 19
-SCORE_BYTES, COUNT_BYTES = 1 << 18, 1 << 21
+ORDER = 5
+SCORE_BYTES, COUNT_BYTES, BLOCK_BYTES = 1 << 18, 1 << 21, 1 << 24
 _END = 255
 _WORD, _GRAM = 0, 1
 _ODD = K.U64(0x9E3779B97F4A7C15)
@@ -103,63 +101,12 @@ def _dense(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, c2
 
 
-class Trie:
-    """The scoring form of the trie: a dense table for orders 0 to 2 and a hash table of longer nodes.
-
-    A node is a run of 3 to ``ORDER + 1`` bytes.  As a symbol after its context it has ``gain``, the log
-    of its count over its context's total; as a context it has ``escape``, and what its exclusions add to
-    both cases of the next shorter context (``seen_fix``, ``escape_fix``).
-    """
+class Lookup:
+    """A hash table from distinct runs of ``ORDER + 1`` bytes to their places."""
 
-    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]], texts: int) -> None:
-        logp, c2 = _dense(*nodes[3])
-        self.logp, self.seen2 = logp.reshape(-1), (c2 > 0).reshape(-1)
-        n2, u2 = c2.sum(axis=1, dtype=np.float64), (c2 > 0).sum(axis=1).astype(np.float64)
-        top = max(nodes)
-        # the context of pads alone isn't a symbol anywhere
-        codes, counts = {}, {}
-        for s in range(3, top + 1):
-            pad = (1 << 8 * s) - 1
-            k, c = nodes[s]
-            if texts and s < top and not (len(k) and k[-1] == pad):
-                k, c = np.append(k, pad), np.append(c, 0)
-            codes[s], counts[s] = k, c.astype(np.float64)
-        begin = dict(zip(codes, np.cumsum([0, *map(len, codes.values())])))
-        total = sum(map(len, codes.values()))
-        zero = lambda: np.zeros(total + 1, np.float32)  # noqa: E731  (the last stands for no node)
-        self.gain, self.escape, self.seen_fix, self.escape_fix = zero(), zero(), zero(), zero()
-        self.context = np.zeros(total + 1, bool)
-        # n: all of a context's count; held: what its held symbols have; u: how many they are
-        n, held, u = ({2: x} for x in (n2, n2, u2))
-        for j in range(3, top):
-            size = len(codes[j])
-            n[j] = np.where(codes[j] == (1 << 8 * j) - 1, texts, counts[j])
-            at = np.searchsorted(codes[j], codes[j + 1] >> 8)
-            held[j] = np.bincount(at, counts[j + 1], size)
-            u[j] = np.bincount(at, counts[j + 1] > 0, size)
-            shorter = np.searchsorted(codes[j], codes[j + 1] & ((1 << 8 * j) - 1))
-            excluded = np.bincount(at, counts[j][shorter], size)
-            suffix = codes[j] & ((1 << 8 * (j - 1)) - 1)
-            low = suffix if j == 3 else np.searchsorted(codes[j - 1], suffix)
-            low = np.minimum(low, len(n[j - 1]) - 1)
-            some = u[j] > 0
-            z = slice(begin[j], begin[j] + size)
-            self.context[z] = some
-            d = n[j] + u[j]
-            self.escape[z] = np.where(some, _log(u[j] + n[j] - held[j]) - _log(d), 0)
-            d1, e1 = n[j - 1][low] + u[j - 1][low], u[j - 1][low] + n[j - 1][low] - held[j - 1][low]
-            dx, ex = d1 - excluded - u[j], e1 - u[j]
-            self.seen_fix[z] = np.where(some, _log(d1) - _log(dx), 0)
-            self.escape_fix[z] = np.where(some, np.where(dx > 0, _log(ex) - _log(dx), 0) - _log(e1) + _log(d1), 0)
-            y = slice(begin[j + 1], begin[j + 1] + len(codes[j + 1]))
-            self.gain[y] = _log(counts[j + 1]) - _log(d[at])
-        self.top = top
-        keys = np.concatenate([codes[s] | s << 56 for s in codes]).astype(K.U64)
-        symbol = np.concatenate([counts[s] > 0 for s in codes])
-        self.symbol = np.append(symbol, False)
-        self._hash(keys)
-
-    def _hash(self, keys: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray) -> None:
+        self.size = len(codes)
+        keys = self._keys(codes)
         bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         self.shift = K.U64(64 - bits)
         self.mask = (1 << bits) - 1
@@ -175,12 +122,16 @@ class Trie:
             stay[free[pick]] = False
             left, at = left[stay], (at[stay] + 1) & self.mask
 
-    def find(self, codes: np.ndarray, size: int) -> np.ndarray:
-        """Node numbers of runs of ``size`` bytes; the last number for none."""
-        k = codes.astype(K.U64) | K.U64(size << 56)
+    @staticmethod
+    def _keys(codes: np.ndarray) -> np.ndarray:
+        return codes.astype(K.U64) | K.U64(1 << 56)  # 0 is a free slot
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Places of runs; ``size`` for one that isn't there."""
+        k = self._keys(codes)
         at = ((k * _ODD) >> self.shift).astype(np.int64)
         there = self.keys[at]
-        out = np.where(there == k, self.index[at], np.int32(len(self.gain) - 1))
+        out = np.where(there == k, self.index[at], np.int32(self.size))
         open_ = np.flatnonzero((there != k) & (there != 0))
         while len(open_):
             at[open_] = (at[open_] + 1) & self.mask
@@ -190,44 +141,73 @@ class Trie:
             open_ = open_[~hit & (there != 0)]
         return out
 
-    def rate(self, symbols: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol from the ``ORDER``-th on (pads and row ends among them)."""
-        n = len(symbols) - ORDER
-        code3 = runs(symbols, 3)
-        out = np.zeros(n, np.float32)
-        done = np.zeros(n, bool)
-        seen_fix, escape_fix = np.zeros(n, np.float32), np.zeros(n, np.float32)
-        node = None
-        for j in range(self.top - 1, 2, -1):
-            # of the positions from ORDER on: the node that ends there, and the context that ends before
-            if node is None:
-                node = self.find(runs(symbols, j + 1), j + 1)[-n:]
-            before = self.find(runs(symbols, j)[-n - 1 :], j)
-            ctx, has = before[:-1], self.context[before[:-1]]
-            hit = self.symbol[node]
-            live = has & ~done
-            out += np.where(live, np.where(hit, self.gain[node] + seen_fix, self.escape[ctx] + escape_fix), 0)
-            done |= live & hit
-            seen_fix, escape_fix = self.seen_fix[ctx], self.escape_fix[ctx]
-            node = before[1:]
-        code = code3[-n:]
-        return out + np.where(done, 0, self.logp[code] + np.where(self.seen2[code], seen_fix, escape_fix))
+
+class Short:
+    """Orders 0 to 2, whole: every (context, symbol)."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        logp, c2 = _dense(grams, counts)
+        self.logp, self.counts = logp.reshape(-1), c2.reshape(-1)
+        self.n, self.u = c2.sum(axis=1, dtype=np.float64), (c2 > 0).sum(axis=1).astype(np.float64)
+
+
+def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each code in the sorted ``keys``, the length for none, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.searchsorted(keys, codes)
+    hit = keys[np.minimum(at, len(keys) - 1)] == codes
+    return np.where(hit, at, len(keys)), hit
+
+
+def rate(asked: np.ndarray, grams: np.ndarray, counts: np.ndarray, short: Short) -> np.ndarray:
+    """log10 probability of the last symbol of each run of ``asked``.
+
+    ``grams`` are the counted runs, all of those whose contexts end in the same three bytes as a context of ``asked``.
+    """
+    low = lambda codes, size: codes & ((1 << 8 * size) - 1)
+    nodes = {}
+    for size in range(ORDER + 1, 3, -1):
+        keys, at = np.unique(low(grams, size), return_inverse=True)
+        nodes[size] = keys, np.bincount(at, counts, len(keys))
+    out = np.zeros(len(asked))
+    done = np.zeros(len(asked), bool)
+    # counts and number of the symbols that the longer context excludes
+    off_n, off_u = np.zeros(len(asked)), np.zeros(len(asked))
+    for size in range(ORDER + 1, 3, -1):
+        keys, c = nodes[size]
+        contexts, at = np.unique(keys >> 8, return_inverse=True)
+        shorter = short.counts[low(keys, 3)].astype(np.float64) if size == 4 else nodes[size - 1][1][np.searchsorted(nodes[size - 1][0], low(keys, size - 1))]
+        add = lambda x, k=len(contexts), at=at: np.append(np.bincount(at, x, k), 0.0)  # noqa: E731  (the last stands for no context)
+        n, u, excluded = add(c), add(np.ones(len(c))), add(shorter)
+        ctx, has = _find(contexts, low(asked, size) >> 8)
+        node, hit = _find(keys, low(asked, size))
+        left_n, left_u = n[ctx] - off_n, u[ctx] - off_u
+        escape = np.where(left_n + left_u > 0, _log(left_u) - _log(left_n + left_u), 0.0)
+        out += np.where(has & ~done, np.where(hit, _log(np.append(c, 0.0)[node]) - _log(left_n + left_u), escape), 0.0)
+        done |= hit
+        off_n, off_u = np.where(has, excluded[ctx], off_n), np.where(has, u[ctx], off_u)
+    code = low(asked, 3)
+    n, u = short.n[code >> 8], short.u[code >> 8]
+    left_n, left_u = n - off_n, u - off_u
+    escape = np.where(left_n + left_u > 0, _log(left_u) - _log(left_n + left_u), 0.0) - np.where(n + u > 0, _log(u) - _log(n + u), 0.0)
+    fix = np.where(short.counts[code] > 0, _log(n + u) - _log(left_n + left_u), escape)
+    return out + np.where(done, 0.0, short.logp[code] + fix)
 
 
 @dataclass
 class Model:
-    """``nodes``: the trie by size of run; ``vocab(h, n)``: word counts, distributed; ``heavy``: its frequent part."""
+    """``short``: orders 0 to 2, runs of three bytes and their counts; ``counts(kind, h, n)``: longest runs and words, distributed."""
 
-    nodes: dict[int, tuple[np.ndarray, np.ndarray]]
-    heavy: np.ndarray
-    heavy_counts: np.ndarray
-    vocab: DataFrame
+    short: tuple[np.ndarray, np.ndarray]
+    counts: DataFrame
+    size: int
     tokens: int
     kinds: int
     texts: int
 
 
-def train(docs: DataFrame, text: str = "text", floor: int = FLOOR) -> Model:
+def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all of ``docs``."""
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
@@ -246,23 +226,20 @@ def train(docs: DataFrame, text: str = "text", floor: int = FLOOR) -> Model:
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, schema).groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counted = table(counted, "lm-counts")
     grams = counted.where(F.col("kind") == _GRAM)
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = {}
-    for size in range(3, ORDER + 2):
-        held = grams.groupBy(F.col("h").bitwiseAND((1 << 8 * size) - 1).alias("h")).agg(F.sum("n").alias("n"))
-        held = held if size == 3 else held.where(F.col("n") * floor >= total)  # 2**24 rows, or floor rows, at most
-        rows = held.toPandas().sort_values("h")
-        nodes[size] = rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-    vocab = counted.where(F.col("kind") == _WORD).select("h", "n")
-    kinds, tokens = vocab.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = docs.count()
-    heavy = vocab.where(F.col("n") * HEAVY >= tokens).toPandas()  # HEAVY rows at most
-    h = heavy["h"].to_numpy(np.int64).view(K.U64)
-    order = np.argsort(h)
-    return Model(nodes, h[order], heavy["n"].to_numpy(np.int64)[order], vocab, int(tokens), int(kinds), int(texts))
+    short = grams.groupBy(F.col("h").bitwiseAND((1 << 24) - 1).alias("h")).agg(F.sum("n").alias("n")).toPandas().sort_values("h")  # 2**24 rows at most
+    size, kinds, tokens = counted.agg(F.count("*"), F.count(F.when(F.col("kind") == _WORD, 1)), F.coalesce(F.sum(F.when(F.col("kind") == _WORD, F.col("n"))), F.lit(0))).first()
+    return Model((short["h"].to_numpy(np.int64), short["n"].to_numpy(np.int64)), counted, int(size), int(tokens), int(kinds), docs.count())
 
 
-_built: dict[str, Trie] = {}  # of the model in use, once a worker
+_built: dict[str, Short] = {}  # of the model in use, once a worker
+
+
+def _sorted(kind: pa.ChunkedArray, h: pa.ChunkedArray, v: pa.ChunkedArray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a kind, in order, and their values."""
+    z = kind.to_numpy() == which
+    h, v = h.to_numpy()[z], v.to_numpy()[z]
+    order = np.argsort(h)
+    return h[order], v[order]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
@@ -273,61 +250,96 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     kinds = model.kinds + (model.texts > 0)
     unit = float(np.log10(tokens + 0.5 * (kinds + 1)))
     end = float(np.log10(model.texts + 0.5))
-    held = spark.sparkContext.broadcast((model.nodes, model.texts, model.heavy, np.log10(model.heavy_counts + 0.5)))
+    some = int(model.texts > 0)
+    held = spark.sparkContext.broadcast(model.short)
     token = uuid.uuid4().hex
-    fields = [("_row", T.LongType()), ("n_tokens", T.LongType()), ("_known", T.LongType()), ("_sum", T.DoubleType()), ("score", T.DoubleType()), ("_rare", T.ArrayType(T.LongType(), False))]
     names = [f"_k{i}" for i in range(len(keep))]
-    schema = T.StructType([*(T.StructField(n, docs.schema[k].dataType) for n, k in zip(names, keep)), *(T.StructField(n, t) for n, t in fields)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, texts, heavy, weight = held.value
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // BLOCK_BYTES))
+    buckets = max(blocks, -(-model.size // (1 << 19)))
+    field = T.StructField
+    laid = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep)), F.col(text).alias("_text"))
+    laid = laid.withColumn("_block", F.pmod(F.xxhash64(*laid.columns), F.lit(blocks)).cast("int")).repartition("_block")
+    asks = T.StructType([field("bucket", T.LongType()), field("block", T.IntegerType()), field("kind", T.IntegerType()), field("h", T.ArrayType(T.LongType()))])
+    tells = T.StructType([field("block", T.IntegerType()), field("kind", T.IntegerType()), field("h", T.ArrayType(T.LongType())), field("v", T.ArrayType(T.DoubleType()))])
+
+    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        """The distinct words and runs of a block, a row a bucket."""
+        found: tuple[list, list] = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in rows.to_batches():
+            for chunk in K.chunks(batch.column("_text"), COUNT_BYTES):
+                low = chunk.lowered()
+                found[_WORD].append(np.unique(K.words(low, K.NOT_SPACE).hashes().view(np.int64)))
+                found[_GRAM].append(np.unique(_row_codes(low)))
+        out = []
+        for kind, parts in enumerate(found):
+            keys = np.unique(np.concatenate(parts))
+            bucket = np.mod(keys, buckets) if kind == _WORD else (((keys >> 8 & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 8) % buckets
+            keys = keys[np.argsort(bucket, kind="stable")]
+            at, n = np.unique(bucket, return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(keys))
+            out.append(pa.table([pa.array(at, pa.int64()), pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array([kind] * len(at), pa.int32()), lists], names=asks.names))
+        return pa.concat_tables(out)
+
+    def answer(counted: pa.Table, asked: pa.Table) -> pa.Table:
+        """A bucket's answers: a word's count, a run's log10 probability."""
         if token not in _built:
             _built.clear()
-            _built[token] = Trie(nodes, texts)
-        trie = _built[token]
-        row = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            _built[token] = Short(*held.value)
+        asked = asked.combine_chunks()
+        out = []
+        for kind in (_WORD, _GRAM):
+            keys, n = _sorted(counted.column("kind"), counted.column("h"), counted.column("n"), kind)
+            some_ = asked.filter(pc.equal(asked.column("kind"), kind)).combine_chunks()
+            if not some_.num_rows:
+                continue
+            h = pc.list_flatten(some_.column("h")).to_numpy()
+            if kind == _WORD:
+                at, _ = _find(keys, h)
+                v = np.append(n, 0)[at].astype(np.float64)
+            else:
+                once, at = np.unique(h, return_inverse=True)
+                v = rate(once, keys, n, _built[token])[at]
+            offsets = pa.array(np.cumsum([0, *pc.list_value_length(some_.column("h")).to_numpy()]), pa.int32())
+            out.append(pa.table([some_.column("block"), some_.column("kind"), pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(v))], names=tells.names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], names=tells.names)
+
+    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    schema = T.StructType([*(field(n, docs.schema[k].dataType) for n, k in zip(names, keep)), *(field(n, t) for n, t in fields)])
+
+    def finish(rows: pa.Table, told: pa.Table) -> pa.Table:
+        """The scores of a block's texts."""
+        size = pc.list_value_length(told.column("h")).to_numpy()
+        kind, h, v = pa.chunked_array([np.repeat(told.column("kind").to_numpy(), size)]), pc.list_flatten(told.column("h")), pc.list_flatten(told.column("v"))
+        words, counts = _sorted(kind, h, v, _WORD)
+        grams, logp = _sorted(kind, h, v, _GRAM)
+        weight = np.log10(counts + 0.5)
+        lookup = Lookup(grams)
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
+        for batch in rows.to_batches():
             for chunk in K.chunks(batch.column("_text"), SCORE_BYTES):
                 low = chunk.lowered()
                 w = K.words(low, K.NOT_SPACE)
-                h = w.hashes()
-                at = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
-                hit = heavy[at] == h if len(heavy) else np.zeros(len(h), bool)
-                part = np.zeros(len(h) + 1)
-                np.cumsum(np.where(hit, weight[at], 0.0) if len(heavy) else 0.0 * h, out=part[1:])
-                known = np.zeros(len(h) + 1, np.int64)
-                np.cumsum(hit, out=known[1:])
-                symbols, first, last = padded(low)
-                total = np.zeros(len(symbols) + 1)
-                np.cumsum(trie.rate(symbols), out=total[ORDER + 1 :], dtype=np.float64)
-                rare_before = np.arange(len(h) + 1) - known
-                out[0].append(row + np.arange(chunk.n))
-                row += chunk.n
-                out[1].append(w.counts.astype(np.int64))
-                out[2].append(np.diff(known[w.bounds]))
-                out[3].append(np.diff(part[w.bounds]))
-                out[4].append(total[last + 1] - total[first])
-                out[5].append((h[~hit].view(np.int64), np.diff(rare_before[w.bounds])))
-            if not out[0]:
-                continue
-            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate([x[1] for x in out[5]])]), pa.int32()), pa.array(np.concatenate([x[0] for x in out[5]])))
-            arrays = [*(batch.column(n) for n in names), *(pa.array(np.concatenate(c)) for c in out[:5]), rare.cast(pa.list_(pa.field("element", pa.int64(), False)))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(schema, arrays)]))
-
-    scored = table(docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep)), F.col(text).alias("_text")).mapInArrow(run, schema), "lm-scored")
-    rare = scored.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("k"))
-    rare = rare.join(model.vocab, "h", "left").groupBy("_row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("_also"))
-    j = scored.drop("_rare").join(rare, "_row", "left")
-    n = F.col("n_tokens") + 1
-    return j.select(
-        *(F.col(m).alias(k) for m, k in zip(names, keep)),
-        n.alias("n_tokens"),
-        (F.col("_known") + F.coalesce("_also", F.lit(0)) + int(model.texts > 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("_sum") + F.coalesce("_more", F.lit(0.0)) + end - n * unit).alias("base_score"),
-        "score",
-    )
+                at = np.searchsorted(words, w.hashes().view(np.int64))
+                known, part = np.zeros(len(at) + 1, np.int64), np.zeros(len(at) + 1)
+                np.cumsum(counts[at] > 0, out=known[1:])
+                np.cumsum(weight[at], out=part[1:])
+                rates = np.zeros(len(low.data) + low.n + 1)
+                np.cumsum(logp[lookup.find(_row_codes(low))], out=rates[1:])
+                n = w.counts.astype(np.int64) + 1
+                out[0].append(n)
+                out[1].append(np.diff(known[w.bounds]) + some)
+                out[2].append(np.diff(part[w.bounds]) + end - n * unit)
+                out[3].append(np.diff(rates[low.offsets + np.arange(low.n + 1)]))
+        return pa.table([*(rows.column(n) for n in names), *(pa.array(np.concatenate(c)) for c in out)], names=schema.names)
+
+    gram = F.col("h")
+    ending = F.shiftright(gram, 8).bitwiseAND(0xFFFFFF) * F.lit(0x9E3779B1)
+    bucket = F.when(F.col("kind") == _WORD, F.pmod(gram, F.lit(buckets))).otherwise(F.pmod(F.shiftright(ending.bitwiseAND(0xFFFFFFFF), 8), F.lit(buckets)))
+    counted = model.counts.withColumn("bucket", bucket.cast("long")).groupBy("bucket")
+    told = counted.cogroup(laid.groupBy("_block").applyInArrow(ask, asks).groupBy("bucket")).applyInArrow(answer, tells)
+    scored = laid.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    return scored.select(*(F.col(m).alias(k) for m, k in zip(names, keep)), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def split(key: Column, folds: int, fold: int) -> Column:

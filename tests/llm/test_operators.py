@@ -9,7 +9,7 @@ import duckdb
 import fixture
 import pytest
 
-from tessera.llm import decontam, html, kernel, mixing, pii
+from tessera.llm import decontam, html, kernel, mixing, pii, ppm
 from tessera.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -67,6 +67,27 @@ def test_ppm(spark, docs, folder):
         assert got[i][4:] == pytest.approx(want[4:], rel=1e-5)
 
 
+def test_ppm_keeps_every_run(spark, tmp_path, monkeypatch):
+    """Runs far rarer than one in 2**19 of the training bytes count in full, over several blocks and buckets."""
+    rng = random.Random(9)
+    filler = " ".join(fixture.words(rng, "en", 1500))
+    rare = ["zq9 xv7 kj4 wq2 " + filler[:60], "zq9 xv7 kj4 unseen wq3", "zq9 xv8", None, ""]
+    texts = [filler] * 140 + rare
+    docs = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    train = [t for i, t, *_ in docs if brute.crc(i, 5) != 1]
+    assert sum(len(t or "") + 1 for t in train) > 1 << 19
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 1 << 17, raising=False)
+    folder = fixture.write(tmp_path / "r", docs)
+    score = brute.language_model(docs, floor=1 << 60)
+    got = by_id(run(spark, "op3_ppm", folder), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    pruned = brute.language_model(docs)
+    for i in (0, *range(140, 145)):
+        want = score(texts[i])
+        assert got[i][:3] == want[:3]
+        assert got[i][3:] == pytest.approx(want[3:], rel=1e-5)
+    assert any(abs(pruned(t)[4] - score(t)[4]) > 0.1 for t in rare)
+
+
 def test_decontam(spark, tmp_path):
     rng = random.Random(4)
     item = fixture.BENCH[0][1]
