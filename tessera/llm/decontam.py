@@ -9,7 +9,8 @@ one has three words or more), so no match is lost here.  Window and item walk th
 embedding: a step copies the current word and moves on or stays by a random bit of word and
 step, which turns edit distance into Hamming distance.  ``TABLES`` samples of ``BITS`` positions over
 ``WALKS`` independent walks are compared; a window that agrees with the item in one of them is a
-candidate.  The exact least edit distance of the item to any run of the candidate's surroundings decides.
+candidate.  About a third of the positions lie beyond the words of both, where padding agrees with
+padding, so nearly every window is a candidate: it is the seeds that choose.  The exact least edit distance of the item to any run of the candidate's surroundings decides.
 
 Defined results: null and empty texts, and items without words, match nothing; items of one or two
 words match exactly; very long texts are searched whole; repeated rows each get their own result;
