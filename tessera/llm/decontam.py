@@ -3,9 +3,10 @@
 Texts are words (lower-cased; digits, letters and all beyond ASCII).  An item of ``n`` words is
 found where some run of a document is within ``allowed(n)`` word edits of it.
 
-A window of an item's size is looked at wherever a run of three of the item's words stands; within
-the allowed edits at least one such run is left whole (the edits cut the item into pieces of which
-one has three words or more), so no match is lost here.  Window and item walk through the CGK
+A window of an item's size is looked at wherever a run of three of the item's words stands (two in
+items of two, four, five or eight words, one in items of one); within the allowed edits at least one
+such run is left whole (the edits cut the item into pieces of which one is as long), so no match is
+lost here.  Window and item walk through the CGK
 embedding: a step copies the current word and moves on or stays by a random bit of word and
 step, which turns edit distance into Hamming distance.  ``TABLES`` samples of ``BITS`` positions over
 ``WALKS`` independent walks are compared; a window that agrees with the item in one of them is a
@@ -40,8 +41,13 @@ _PAD = K.U64(0)
 
 
 def allowed(n: int) -> int:
-    """Edits that an item of ``n`` words may differ by; every such match leaves a run of ``SEED_WORDS`` whole."""
-    return max(0, min(int(SHARE * n), n // SEED_WORDS - 1))
+    """Edits that an item of ``n`` words may differ by."""
+    return int(SHARE * n)
+
+
+def seed_words(n: np.ndarray) -> np.ndarray:
+    """Words of a seed, ``SEED_WORDS`` at most: every match within the allowed edits leaves a run of so many whole."""
+    return np.minimum(SEED_WORDS, n // (np.floor(SHARE * n) + 1)).astype(np.int64)
 
 
 def _steps(walk: int, n: int) -> np.ndarray:
@@ -116,8 +122,9 @@ def compile_items(ids: list, texts: list[str | None], seed: int = 23) -> Items:
     bounds = np.cumsum([0, *map(len, runs)])
     words = np.concatenate(runs) if runs else np.zeros(0, K.U64)
     seeds = {}
+    sizes = seed_words(np.diff(bounds)).tolist()
     for k in range(1, SEED_WORDS + 1):
-        which = [(g, i, o) for i, h in enumerate(runs) if min(len(h), SEED_WORDS) == k for o, g in enumerate(K.windows(h, k).tolist())]
+        which = [(g, i, o) for i, h in enumerate(runs) if sizes[i] == k for o, g in enumerate(K.windows(h, k).tolist())]
         if which:
             which.sort()
             grams = np.array([x[0] for x in which], K.U64)
@@ -161,7 +168,7 @@ def _candidates(items: Items, hashes: np.ndarray, w: K.Words, part: int = 1 << 1
     n = items.bounds[item + 1] - items.bounds[item]
     lo, hi = w.bounds[row], w.bounds[row + 1]
     begin, end = np.clip(start, lo, hi), np.clip(start + n, lo, hi)
-    collide = n < SEED_WORDS
+    collide = seed_words(n) < SEED_WORDS
     for a in range(0, len(item), part):
         z = slice(a, a + part)
         for walk in range(WALKS):

@@ -99,6 +99,27 @@ def test_decontam(spark, tmp_path):
     assert got == want and {i for i, _ in got} == {0, 1, 2, 4, 5, 9}
 
 
+def test_decontam_short_items():
+    """Items of 1 to 16 words are found at a quarter of their words in edits, as brute force finds them."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    bench = [[word() for _ in range(n)] for n in range(1, 17) for _ in range(6)]
+    items = decontam.compile_items(list(range(len(bench))), [" ".join(b) for b in bench])
+    texts = []
+    for b in bench:
+        t = list(b)
+        for p in rng.sample(range(len(b)), len(b) // 4):
+            t[p] = word()
+        texts.append([word() for _ in range(4)] + t + [word() for _ in range(4)])
+        cut = b[: len(b) // 2] + b[len(b) // 2 + len(b) // 4 :]  # words left out
+        texts.append([word(), *cut])
+    got = {(m[0], m[1]) for c in decontam.folded(pa.array([" ".join(t) for t in texts])) for m in decontam.search(items, c)}
+    want = {(i, k) for i, t in enumerate(texts) for k, b in enumerate(bench) if brute.edits(b, t) <= len(b) // 4}
+    assert len(want) >= 2 * len(bench) and got == want
+
+
 def test_decontam_recall():
     rng = random.Random(8)
     bench = [" ".join(fixture.words(rng, "en", rng.randint(10, 60))) for _ in range(60)]
