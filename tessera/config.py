@@ -25,7 +25,6 @@ class EngineConfig:
     spo_size: int = 1000
     semantic_distance: float = 0.5
     languages: tuple[str, ...] = ("de", "en")
-    max_path_depth: int = 64
     async_timeout_s: float = 60.0
     cache_ttl_s: float = 7 * 24 * 3600.0
     #: Key sets of at most this many rows are broadcast; larger ones are joined by shuffle.

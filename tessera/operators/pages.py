@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
 from ..plans.graph import Graph
 from ..plans.materialize import materialized
 from ..plans.spec import QuerySpec
@@ -42,7 +41,7 @@ def sp(graph: Graph, subjects: list[str], p: str | None = None) -> DataFrame:
     return q.select("s", "o")
 
 
-def paths(graph: Graph, subjects: DataFrame, predicate: str, config: EngineConfig) -> DataFrame:
+def paths(graph: Graph, subjects: DataFrame, predicate: str) -> DataFrame:
     """``s, path``: ancestors of each subject under ``predicate``, nearest first, up to a root.
 
     Climbs from the wanted subjects only, one frontier a step; a path that meets itself ends there without
@@ -55,11 +54,11 @@ def paths(graph: Graph, subjects: DataFrame, predicate: str, config: EngineConfi
     has_parent = graph.quads().where(F.col("p") == graph.key(predicate)).select(F.col("s").alias("_at")).distinct()
     kind = graph.quads().schema["s"].dataType
     live = subjects.select("s", F.col("s").alias("_at"), F.array().cast(f"array<{kind.simpleString()}>").alias("path"))
-    done = None
-    for _ in range(config.max_path_depth):
-        ended = live.join(has_parent, "_at", "left_anti").select("s", "path")
-        done = ended if done is None else done.union(ended)
+    climbed = live
+    while True:  # ends: no path holds a node twice
         live = materialized(live.join(edges, live["_at"] == edges["_c"]).where((F.col("_parent") != F.col("s")) & ~F.array_contains("path", F.col("_parent"))).select("s", F.col("_parent").alias("_at"), F.array_append("path", F.col("_parent")).alias("path")), "frontier")
         if live.isEmpty():
             break
+        climbed = climbed.union(live)
+    done = climbed.join(has_parent, "_at", "left_anti")
     return done.groupBy("s").agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b")).select("s", F.col("b.path").alias("path"))

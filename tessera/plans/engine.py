@@ -64,7 +64,7 @@ class Plan:
 
     def paths(self, predicate: str, page: DataFrame | None = None) -> DataFrame:
         page = self.ranked() if page is None else page
-        return pages.paths(self.graph, page.select("s"), predicate, self.config)
+        return pages.paths(self.graph, page.select("s"), predicate)
 
 
 class Engine:

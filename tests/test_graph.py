@@ -150,6 +150,13 @@ def test_cycles_end(spark):
     assert got == {"<c>": ["<d>"], "<d>": []}
 
 
+def test_long_paths_are_whole(spark):
+    q = [(f"<n{i}>", "<p>", f"<n{i + 1}>", "") for i in range(70)] + [("<n70>", "<t>", "<x>", "")]
+    e = Engine(VirtualGraph(spark.createDataFrame(q, "s string, p string, o string, g string")))
+    got = {r["s"]: r["path"] for r in e.plan({}).paths("<p>").collect()}
+    assert got == {f"<n{i}>": [f"<n{k}>" for k in range(i + 1, 71)] for i in range(71)}
+
+
 def test_similar(spark):
     q = [("<a>", f"<p{i}>", "<o>", "") for i in range(4)] + [("<b>", f"<p{i}>", "<o>", "") for i in range(3)] + [("<c>", "<p0>", "<o>", "")]
     g = VirtualGraph(spark.createDataFrame(q, "s string, p string, o string, g string"))
