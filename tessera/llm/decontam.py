@@ -3,19 +3,22 @@
 Texts are words (lower-cased; digits, letters and all beyond ASCII).  An item of ``n`` words is
 found where some run of a document is within ``allowed(n)`` word edits of it.
 
-A window of an item's size is looked at wherever a run of three of the item's words stands (two in
-items of two, four, five or eight words, one in items of one); within the allowed edits at least one
-such run is left whole (the edits cut the item into pieces of which one is as long), so no match is
-lost here.  Window and item walk through the CGK
-embedding: a step copies the current word and moves on or stays by a random bit of word and
-step, which turns edit distance into Hamming distance.  ``TABLES`` samples of ``BITS`` positions over
-``WALKS`` independent walks are compared; a window that agrees with the item in one of them is a
-candidate.  About a third of the positions lie beyond the words of both, where padding agrees with
-padding, so nearly every window is a candidate: it is the seeds that choose.  The exact least edit distance of the item to any run of the candidate's surroundings decides.
-
-Defined results: null and empty texts, and items without words, match nothing; items of one or two
-words match exactly; very long texts are searched whole; repeated rows each get their own result;
-empty tables give an empty result; other columns are left aside (``clean`` passes them through).
+An item of up to ``PART`` words is one window; a longer one is cut into equal windows of that size
+at most, one of which holds no more than its share of the edits.  A window walks through the CGK
+embedding: a step copies the current word and moves on or stays by a random bit of word and step,
+which turns edit distance into Hamming distance.  Every place of a document begins a walk with the
+same bits.  A table samples ``BITS`` steps of one of ``WALKS`` independent walks; a place that agrees
+with a window in all of them is a candidate.  ``TABLES`` tables for each class of window sizes reach
+the target recall (tests measure it at the allowed edits); nothing else proposes candidates.  The
+steps stay where the item still has words, so padding never counts as agreement.  The exact least
+edit distance of the whole item to any run of the candidate's surroundings decides.
+
+Defined results: null and empty texts, and items without words, match nothing; items of up to three
+words match exactly; very long texts are searched whole; repeated rows each get their own result,
+and so do items that repeat an id or a text; of several places of an item in a row the one with the
+fewest edits, then the first, then the shortest is told; ids may be null and of any type; empty
+tables give an empty result; other columns are left aside, whatever their names (``clean`` passes
+them through).
 """
 
 from __future__ import annotations
@@ -29,15 +32,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel as K
 from .store import ship
 
-SHARE, SEED_WORDS = 0.25, 3
-WALKS, TABLES, BITS = 8, 192, 2
-#: Item text that is broadcast at once; more items are searched in as many blocks, each over all documents.
-BLOCK_BYTES = 16 << 20
-_PAD = K.U64(0)
+SHARE = 0.25
+#: Words of a window, at most; the shortest window of each class of window sizes.
+PART, CLASSES = 16, (1, 2, 3, 4, 6, 8, 11, 14)
+WALKS, TABLES, BITS, GAP = 16, 144, 4, 2
+#: Steps of a walk, for each word of the shortest window of a class: a walk takes a word in two steps, about.
+STEPS = 1.6
+#: Item text that is broadcast at once (about ten times that as tables); more items are searched in as many blocks, each over all documents.
+BLOCK_BYTES = 4 << 20
+_FILTER, _WIDTH = 1 << 14, 512
 
 
 def allowed(n: int) -> int:
@@ -45,34 +53,30 @@ def allowed(n: int) -> int:
     return int(SHARE * n)
 
 
-def seed_words(n: np.ndarray) -> np.ndarray:
-    """Words of a seed, ``SEED_WORDS`` at most: every match within the allowed edits leaves a run of so many whole."""
-    return np.minimum(SEED_WORDS, n // (np.floor(SHARE * n) + 1)).astype(np.int64)
-
-
-def _steps(walk: int, n: int) -> np.ndarray:
-    """The random multipliers of a walk's steps; the same everywhere, at any length."""
-    return K.mix(np.arange(n, dtype=K.U64) + K.U64((walk + 1) << 40)) | K.U64(1)
-
-
 def folded(column: pa.Array) -> Iterator[K.Chunk]:
     """Chunks of the lower-cased texts, in whatever script."""
     return K.chunks(pc.utf8_lower(column))
 
 
-def embed(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
-    """The CGK embeddings of the runs ``words[start : start+length]``: ``[run, 3 * longest]``."""
-    size = 3 * int(lengths.max())
-    steps = _steps(walk, size)
-    words = np.append(words, _PAD)
-    ends = starts + lengths
-    at = starts.copy()
-    out = np.empty((size, len(starts)), K.U64)
-    for j in range(size):
-        w = words[np.where(at < ends, at, len(words) - 1)]
-        out[j] = w
-        at += (((w ^ (w >> K.U64(29))) * steps[j]) >> K.U64(63)).astype(at.dtype)
-    return out.T
+def _bits(words: np.ndarray, walk: int) -> np.ndarray:
+    """The random bits of each word, one a step, and none for the place beyond the last word."""
+    salt = K.U64((walk + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    return np.append((K.mix(words + salt) >> K.U64(1)).view(np.int64), 0)
+
+
+def embed(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A CGK walk from each of ``starts``: at every step, the places it stands at (valid until the next step) and the words there.
+
+    ``ids`` and ``bits`` have one more entry than there are words: a walk stays there.
+    """
+    at = starts.astype(np.int64)
+    move = np.empty_like(at)
+    for j in range(steps):
+        yield at, ids.take(at, mode="clip")
+        bits.take(at, mode="clip", out=move)
+        move >>= j
+        move &= 1
+        at += move
 
 
 def distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -102,18 +106,76 @@ def distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+@dataclass
+class Table:
+    """Samples of one walk: windows by the hash of their words at ``steps``."""
+
+    walk: int
+    steps: list[int]
+    keys: np.ndarray
+    first: np.ndarray
+    which: np.ndarray
+    #: a step each: which words (modulo ``_FILTER``) windows of its class have there
+    filters: list[np.ndarray]
+
+    def __post_init__(self) -> None:
+        bits = max(12, int(len(self.keys) * 8).bit_length())
+        self.shift = K.U64(64 - bits)
+        self.likely = np.zeros(1 << bits, bool)
+        self.likely[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        return {f: getattr(self, f) for f in self.__dataclass_fields__}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``key`` are in the table, and their slots."""
+        at = np.flatnonzero(self.likely[(key >> self.shift).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        hit = self.keys[slot] == key[at]
+        return at[hit], slot[hit]
+
+
 @dataclass
 class Items:
-    """Items of a block as word hashes, their seeds, and their sampled embeddings."""
+    """Items of a block as word hashes, cut into windows, and the tables of the windows' sampled walks."""
 
     ids: list
     words: np.ndarray
     bounds: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    #: per item and table: walk, positions, and the embedding there
-    walks: np.ndarray
-    places: np.ndarray
-    samples: np.ndarray
+    #: the items' words, sorted, and a bitmap of their leading bits
+    vocabulary: np.ndarray
+    likely: np.ndarray
+    #: which words (their numbers modulo ``_WIDTH``) each item has
+    bag: np.ndarray
+    #: each window's item and first word
+    owner: np.ndarray
+    offset: np.ndarray
+    tables: list[Table]
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Each word's number in the vocabulary, from 1; 0 for others."""
+        out = np.zeros(len(words), np.int64)
+        at = np.flatnonzero(self.likely[(words >> K.U64(44)).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.vocabulary, words[at]), max(0, len(self.vocabulary) - 1))
+        hit = self.vocabulary[slot] == words[at] if len(self.vocabulary) else np.zeros(0, bool)
+        out[at[hit]] = slot[hit] + 1
+        return out
+
+
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(words[0]), K.U64)
+    for w, lane in zip(words, K._LANE):
+        out += w.astype(K.U64) * lane
+    return K.mix(out)
+
+
+def _sample(reach: int, bits: int, rng: np.random.Generator) -> list[int]:
+    """Steps ``GAP`` apart at least: neighbours often stand on the same word."""
+    return (np.sort(rng.choice(reach - (GAP - 1) * (bits - 1), bits, replace=False)) + (GAP - 1) * np.arange(bits)).tolist()
 
 
 def compile_items(ids: list, texts: list[str | None], seed: int = 23) -> Items:
@@ -121,69 +183,106 @@ def compile_items(ids: list, texts: list[str | None], seed: int = 23) -> Items:
     ids, runs = [i for i, _ in rows], [h for _, h in rows]
     bounds = np.cumsum([0, *map(len, runs)])
     words = np.concatenate(runs) if runs else np.zeros(0, K.U64)
-    seeds = {}
-    sizes = seed_words(np.diff(bounds)).tolist()
-    for k in range(1, SEED_WORDS + 1):
-        which = [(g, i, o) for i, h in enumerate(runs) if sizes[i] == k for o, g in enumerate(K.windows(h, k).tolist())]
-        if which:
-            which.sort()
-            grams = np.array([x[0] for x in which], K.U64)
-            keys, first = np.unique(grams, return_index=True)
-            filter_ = np.zeros(1 << 20, bool)
-            filter_[(keys >> K.U64(44)).astype(np.int64)] = True
-            seeds[k] = filter_, keys, np.append(first, len(grams)), np.array([x[1:] for x in which], np.int64)
+    vocabulary = np.unique(words)
+    likely = np.zeros(1 << 20, bool)
+    likely[(vocabulary >> K.U64(44)).astype(np.int64)] = True
+    cuts = [(i, a, b) for i, h in enumerate(runs) for n in [len(h)] for k in [-(-n // PART)] for a, b in [(n * x // k, n * (x + 1) // k) for x in range(k)]]
+    owner, begin, end = np.array(cuts, np.int64).reshape(-1, 3).T
+    out = Items(ids, words, bounds, vocabulary, likely, np.zeros((len(ids), _WIDTH), bool), owner, begin, [])
+    starts, size = bounds[owner] + begin, end - begin
+    numbers = np.append(out.number(words), 0)
+    out.bag[np.repeat(np.arange(len(ids)), np.diff(bounds)), numbers[:-1] % _WIDTH] = True
+    kind = np.searchsorted(CLASSES, size, "right") - 1
     rng = np.random.default_rng(seed)
-    n = np.diff(bounds)
-    walks = np.repeat(np.arange(WALKS), TABLES // WALKS)
-    places = np.stack([rng.integers(0, 3 * x, (TABLES, BITS)) for x in n]) if len(n) else np.zeros((0, TABLES, BITS), np.int64)
-    samples = np.zeros((len(n), TABLES, BITS), K.U64)
-    if len(n):
-        for w in range(WALKS):
-            e = embed(words, bounds[:-1], n, w)
-            z = np.flatnonzero(walks == w)
-            samples[:, z] = np.take_along_axis(e, places[:, z].reshape(len(n), -1), axis=1).reshape(len(n), len(z), BITS)
-    return Items(ids, words, bounds, seeds, walks, places, samples)
-
-
-def _candidates(items: Items, hashes: np.ndarray, w: K.Words, part: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """(item, window start in the chunk's words) of windows that collide with their item; starts may lie before the row."""
-    found = []
-    rows = w.rows
-    for k, (filter_, keys, first, which) in items.seeds.items():
-        grams = K.windows(hashes, k)
-        at = np.flatnonzero(filter_[(grams >> K.U64(44)).astype(np.int64)] & K.inside_rows(w, k))
-        slot = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-        hit = keys[slot] == grams[at]
-        at, slot = at[hit], slot[hit]
-        many = first[slot + 1] - first[slot]
-        if not len(at):
+    seen: dict[tuple[int, int, int], np.ndarray] = {}
+    for c, least in enumerate(CLASSES):
+        one = allowed(least) == 0  # nothing may differ: a table of the first and the last word
+        reach = max(least, int(STEPS * least))
+        plans = [(0, [0, least - 1])] if one else [(t % WALKS, _sample(reach, min(BITS, least // 2), rng)) for t in range(TABLES)]
+        z = np.flatnonzero(kind == c)
+        if not len(z):
             continue
-        take = np.repeat(first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, offset = which[take].T
-        found.append(np.stack([item, np.repeat(at, many) - offset, np.repeat(rows[at], many)], 1))
+        for walk in sorted({w for w, _ in plans}):
+            far = max(p[-1] for w, p in plans if w == walk) + 1
+            walked = [(at.copy(), x) for at, x in embed(numbers, _bits(words, walk), starts[z], far)]
+            for steps in (p for w, p in plans if w == walk):
+                inside = np.all([walked[j][0] < starts[z] + size[z] for j in steps], axis=0)
+                key = _key([walked[j][1] for j in steps])[inside]
+                order = np.argsort(key, kind="stable")
+                keys, first = np.unique(key[order], return_index=True)
+                for j in steps:
+                    seen.setdefault((c, walk, j), np.zeros(_FILTER, bool))[walked[j][1][inside] % _FILTER] = True
+                out.tables.append(Table(walk, steps, keys, np.append(first, len(order)), z[inside][order], [seen[c, walk, j] for j in steps]))
+    out.tables.sort(key=lambda t: t.walk)
+    return out
+
+
+def candidates(items: Items, hashes: np.ndarray, w: K.Words) -> np.ndarray:
+    """``[item, start, row]`` of places that agree with a window in some table; ``start`` is where the item would begin, in words of the chunk."""
+    found = []
+    n = len(hashes)
+    ids = np.append(items.number(hashes), 0)
+    starts = np.arange(n)
+    back = int(items.offset.max(initial=0))
+    span = n + back + 1
+    for walk in sorted({t.walk for t in items.tables}):
+        tables = [t for t in items.tables if t.walk == walk]
+        need = {j for t in tables for j in t.steps}
+        walked = {j: x for j, (_, x) in enumerate(embed(ids, _bits(hashes, walk), starts, max(need) + 1)) if j in need}
+        folded_ = {j: x & (_FILTER - 1) for j, x in walked.items()} if len(items.vocabulary) >= _FILTER else walked
+        passed: dict[int, np.ndarray] = {}
+        for t in tables:
+            at = None
+            for j, ok in zip(t.steps, t.filters):
+                if at is None:
+                    at = passed.get(id(ok))
+                    if at is None:
+                        at = passed[id(ok)] = np.flatnonzero(ok.take(folded_[j], mode="clip"))
+                else:
+                    at = at[ok.take(folded_[j].take(at, mode="clip"), mode="clip")]
+            if not len(at) or not len(t.keys):
+                continue
+            hit, slot = t.find(_key([walked[j][at] for j in t.steps]))
+            if not len(hit):
+                continue
+            at, many = at[hit], t.first[slot + 1] - t.first[slot]
+            take = np.repeat(t.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            which = t.which[take]
+            place = np.repeat(at, many)
+            found.append((items.owner[which] * w.chunk.n + np.searchsorted(w.bounds, place, "right") - 1) * span + place - items.offset[which] + back)
     if not found:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    seen = np.unique(np.concatenate(found), axis=0)
-    item, start, row = seen.T
-    n = items.bounds[item + 1] - items.bounds[item]
-    lo, hi = w.bounds[row], w.bounds[row + 1]
-    begin, end = np.clip(start, lo, hi), np.clip(start + n, lo, hi)
-    collide = seed_words(n) < SEED_WORDS
-    for a in range(0, len(item), part):
-        z = slice(a, a + part)
-        for walk in range(WALKS):
-            todo = np.flatnonzero(~collide[z])
-            if not len(todo):
-                break
-            who = item[z][todo]
-            tables = np.flatnonzero(items.walks == walk)
-            e = embed(hashes, begin[z][todo], (end - begin)[z][todo], walk)
-            # a window cut off by its row's end is shorter; beyond its walk there is padding
-            p = items.places[who][:, tables].reshape(len(who), -1)
-            got = np.where(p < e.shape[1], np.take_along_axis(e, np.minimum(p, e.shape[1] - 1), axis=1), _PAD)
-            same = (got == items.samples[who][:, tables].reshape(len(who), -1)).reshape(len(who), len(tables), BITS)
-            collide[z.start + todo[same.all(axis=2).any(axis=1)]] = True
-    return item[collide], np.stack([start, row], 1)[collide]
+        return np.zeros((0, 3), np.int64)
+    code = np.unique(np.concatenate(found))
+    item, row = np.divmod(code // span, w.chunk.n)
+    start = code % span - back
+    # a match has all but the allowed edits of the item's words, and of its distinct words, in its surroundings
+    size = np.diff(items.bounds)[item]
+    edits = (SHARE * size).astype(np.int64)
+    lo, hi = np.maximum(w.bounds[row], start - edits), np.minimum(w.bounds[row + 1], start + size + edits)
+    many = np.maximum(hi - lo, 0)
+    keep = np.zeros(len(item), bool)
+    kinds = items.bag.sum(axis=1)
+    for z in _slices(many + 16):
+        m = many[z]
+        which = np.repeat(np.arange(len(m)), m)
+        x = ids[np.repeat(lo[z] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+        slot = x & (_WIDTH - 1)
+        there = items.bag.reshape(-1).take(item[z][which] * _WIDTH + slot) & (x > 0)
+        ok = np.bincount(which[there], minlength=len(m)) >= (size - edits)[z]
+        there &= ok[which]
+        rank = np.cumsum(ok) - 1
+        present = np.zeros((int(ok.sum()), _WIDTH), bool)
+        present[rank[which[there]], slot[there]] = True
+        ok[ok] = present.sum(axis=1) >= (kinds[item[z]] - edits[z])[ok]
+        keep[z] = ok
+    return np.stack([item, start, row], 1)[keep]
+
+
+def _slices(many: np.ndarray, limit: int = 1 << 20) -> Iterator[slice]:
+    """Runs of rows that have ``limit`` words together, about."""
+    cut = np.flatnonzero(np.diff(np.cumsum(many) // limit)) + 1
+    bounds = [0, *cut.tolist(), len(many)]
+    return (slice(a, b) for a, b in zip(bounds, bounds[1:]) if a < b)
 
 
 def search(items: Items, chunk: K.Chunk) -> list[tuple[int, int, int, int, int]]:
@@ -191,7 +290,7 @@ def search(items: Items, chunk: K.Chunk) -> list[tuple[int, int, int, int, int]]
     w = K.words(chunk, K.ALNUM)
     hashes = w.hashes()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for item, (start, row) in zip(*(x.tolist() for x in _candidates(items, hashes, w))):
+    for item, start, row in candidates(items, hashes, w).tolist():
         a, b = items.bounds[item], items.bounds[item + 1]
         n = int(b - a)
         d = allowed(n)
@@ -215,7 +314,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
     n = max(1, -(-int(size) // BLOCK_BYTES))
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()
-        rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["t"] or ""))
+        rows.sort(key=lambda r: (r["i"] is None, 0 if r["i"] is None else r["i"], r["t"] or ""))
         yield compile_items([r["i"] for r in rows], [r["t"] for r in rows])
 
 
@@ -224,7 +323,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
     spark = docs.sparkSession
     ship(spark)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), *(T.StructField(n, T.LongType()) for n in ("edits", "start", "end", "item_words"))])
-    kind = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[benchmark.schema[item].dataType]
+    kind = to_arrow_type(benchmark.schema[item].dataType)
     d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     out = None
     for items in _blocks(benchmark, item, text):
