@@ -8,9 +8,11 @@ at most, one of which holds no more than its share of the edits.  A window walks
 embedding: a step copies the current word and moves on or stays by a random bit of word and step,
 which turns edit distance into Hamming distance.  Every place of a document begins a walk with the
 same bits.  A table samples ``BITS`` steps of one of ``WALKS`` independent walks; a place that agrees
-with a window in all of them is a candidate.  ``TABLES`` tables for each class of window sizes reach
+with a window in all of them is a candidate.  Long windows are looked for from every ``STRIDE``-th place
+only, and stand in the tables at as many shifts.  ``TABLES`` tables for each class of window sizes reach
 the target recall (tests measure it at the allowed edits); nothing else proposes candidates.  The
-steps stay where the item still has words, so padding never counts as agreement.  The exact least
+steps stay where the item still has words, so padding never counts as agreement.  Candidates whose
+surroundings lack too many of the item's words, or of its distinct words, can't match and go.  The exact least
 edit distance of the whole item to any run of the candidate's surroundings decides.
 
 Defined results: null and empty texts, and items without words, match nothing; items of up to three
@@ -39,13 +41,15 @@ from .store import ship
 
 SHARE = 0.25
 #: Words of a window, at most; the shortest window of each class of window sizes.
-PART, CLASSES = 16, (1, 2, 3, 4, 6, 8, 11, 14)
-WALKS, TABLES, BITS, GAP = 16, 144, 4, 2
+PART, CLASSES = 12, (1, 2, 3, 4, 6, 9)
+WALKS, TABLES, BITS, GAP = 12, 96, 4, 2
+#: Windows of this many words and more begin at every ``STRIDE``-th place of a chunk only; items have them at as many shifts.
+LONG, STRIDE = 8, 4
 #: Steps of a walk, for each word of the shortest window of a class: a walk takes a word in two steps, about.
 STEPS = 1.6
 #: Item text that is broadcast at once (about ten times that as tables); more items are searched in as many blocks, each over all documents.
 BLOCK_BYTES = 4 << 20
-_FILTER, _WIDTH = 1 << 14, 512
+_WIDTH, CHUNK_BYTES = 512, 1 << 19
 
 
 def allowed(n: int) -> int:
@@ -55,7 +59,7 @@ def allowed(n: int) -> int:
 
 def folded(column: pa.Array) -> Iterator[K.Chunk]:
     """Chunks of the lower-cased texts, in whatever script."""
-    return K.chunks(pc.utf8_lower(column))
+    return K.chunks(pc.utf8_lower(column), CHUNK_BYTES)
 
 
 def _bits(words: np.ndarray, walk: int) -> np.ndarray:
@@ -64,15 +68,15 @@ def _bits(words: np.ndarray, walk: int) -> np.ndarray:
     return np.append((K.mix(words + salt) >> K.U64(1)).view(np.int64), 0)
 
 
-def embed(ids: np.ndarray, bits: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def embed(words: np.ndarray, bits: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A CGK walk from each of ``starts``: at every step, the places it stands at (valid until the next step) and the words there.
 
-    ``ids`` and ``bits`` have one more entry than there are words: a walk stays there.
+    ``words`` and ``bits`` have one more entry than there are words: a walk stays there.
     """
     at = starts.astype(np.int64)
     move = np.empty_like(at)
     for j in range(steps):
-        yield at, ids.take(at, mode="clip")
+        yield at, words.take(at, mode="clip")
         bits.take(at, mode="clip", out=move)
         move >>= j
         move &= 1
@@ -108,21 +112,29 @@ def distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
 
 @dataclass
 class Table:
-    """Samples of one walk: windows by the hash of their words at ``steps``."""
+    """Samples of one walk: windows by a hash of their words at ``steps``."""
 
     walk: int
+    stride: int
     steps: list[int]
     keys: np.ndarray
+    #: where each key's windows begin in ``Items.which``, less ``base``
     first: np.ndarray
-    which: np.ndarray
-    #: a step each: which words (modulo ``_FILTER``) windows of its class have there
-    filters: list[np.ndarray]
+    base: int
+    #: sums of the first two sampled words
+    pairs: np.ndarray
 
     def __post_init__(self) -> None:
-        bits = max(12, int(len(self.keys) * 8).bit_length())
-        self.shift = K.U64(64 - bits)
-        self.likely = np.zeros(1 << bits, bool)
-        self.likely[(self.keys >> self.shift).astype(np.int64)] = True
+        self.shift, self.likely = self._bitmap(self.keys, 20)
+        self.pair_shift, self.likely_pair = self._bitmap(self.pairs, 17)
+
+    @staticmethod
+    def _bitmap(keys: np.ndarray, most: int) -> tuple[np.uint64, np.ndarray]:
+        """Which leading bits ``keys`` have."""
+        bits = min(most, max(14, int(len(keys) * 16).bit_length()))
+        out = np.zeros(1 << bits, bool)
+        out[(keys >> K.U64(64 - bits)).astype(np.int64)] = True
+        return K.U64(64 - bits), out
 
     def __getstate__(self) -> dict:
         return {f: getattr(self, f) for f in self.__dataclass_fields__}
@@ -131,12 +143,19 @@ class Table:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``key`` are in the table, and their slots."""
-        at = np.flatnonzero(self.likely[(key >> self.shift).astype(np.int64)])
-        slot = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-        hit = self.keys[slot] == key[at]
-        return at[hit], slot[hit]
+    def find(self, lanes: dict[tuple[int, int], np.ndarray], walked: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which places agree with windows, and the windows' slots; ``lanes`` are the first two factors of the sum."""
+        total = lanes[self.steps[0], 0] + lanes[self.steps[1], 1]
+        at = np.flatnonzero(self.likely_pair.take((total >> self.pair_shift).view(np.int64), mode="clip"))
+        key = total.take(at)
+        for j, lane in zip(self.steps[2:], K._LANE[2:]):
+            key += walked[j].take(at) * lane
+        key = K.mix(key)
+        hit = np.flatnonzero(self.likely.take((key >> self.shift).view(np.int64), mode="clip"))
+        at, key = at[hit], key[hit]
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        ok = self.keys[slot] == key
+        return at[ok], slot[ok]
 
 
 @dataclass
@@ -154,6 +173,8 @@ class Items:
     #: each window's item and first word
     owner: np.ndarray
     offset: np.ndarray
+    #: windows by table and key
+    which: np.ndarray
     tables: list[Table]
 
     def number(self, words: np.ndarray) -> np.ndarray:
@@ -166,18 +187,22 @@ class Items:
         return out
 
 
-def _key(words: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(words[0]), K.U64)
-    for w, lane in zip(words, K._LANE):
-        out += w.astype(K.U64) * lane
-    return K.mix(out)
-
-
 def _sample(reach: int, bits: int, rng: np.random.Generator) -> list[int]:
     """Steps ``GAP`` apart at least: neighbours often stand on the same word."""
     return (np.sort(rng.choice(reach - (GAP - 1) * (bits - 1), bits, replace=False)) + (GAP - 1) * np.arange(bits)).tolist()
 
 
+def _cuts(n: int) -> Iterator[tuple[int, int, int]]:
+    """Windows of an item of ``n`` words: begin, end, stride."""
+    if n < LONG + STRIDE - 1:
+        yield 0, n, 1
+        return
+    k = -(-n // PART)
+    for a, b in ((n * x // k, n * (x + 1) // k) for x in range(k)):
+        for d in range(STRIDE):
+            yield (a - d, b - d, STRIDE) if a else (d, min(b + d, n), STRIDE)
+
+
 def compile_items(ids: list, texts: list[str | None], seed: int = 23) -> Items:
     rows = [(i, h) for i, t in zip(ids, texts) if t and len(h := K.words(next(folded(pa.array([t], pa.string()))), K.ALNUM).hashes())]
     ids, runs = [i for i, _ in rows], [h for _, h in rows]
@@ -186,34 +211,35 @@ def compile_items(ids: list, texts: list[str | None], seed: int = 23) -> Items:
     vocabulary = np.unique(words)
     likely = np.zeros(1 << 20, bool)
     likely[(vocabulary >> K.U64(44)).astype(np.int64)] = True
-    cuts = [(i, a, b) for i, h in enumerate(runs) for n in [len(h)] for k in [-(-n // PART)] for a, b in [(n * x // k, n * (x + 1) // k) for x in range(k)]]
-    owner, begin, end = np.array(cuts, np.int64).reshape(-1, 3).T
-    out = Items(ids, words, bounds, vocabulary, likely, np.zeros((len(ids), _WIDTH), bool), owner, begin, [])
+    cuts = [(i, *c) for i, h in enumerate(runs) for c in _cuts(len(h))]
+    owner, begin, end, stride = np.array(cuts, np.int64).reshape(-1, 4).T
+    out = Items(ids, words, bounds, vocabulary, likely, np.zeros((len(ids), _WIDTH), bool), owner, begin, np.zeros(0, np.int64), [])
     starts, size = bounds[owner] + begin, end - begin
-    numbers = np.append(out.number(words), 0)
-    out.bag[np.repeat(np.arange(len(ids)), np.diff(bounds)), numbers[:-1] % _WIDTH] = True
-    kind = np.searchsorted(CLASSES, size, "right") - 1
+    out.bag[np.repeat(np.arange(len(ids)), np.diff(bounds)), out.number(words) % _WIDTH] = True
+    kind = np.searchsorted(CLASSES, size, "right") - 1 + len(CLASSES) * (stride > 1)
     rng = np.random.default_rng(seed)
-    seen: dict[tuple[int, int, int], np.ndarray] = {}
-    for c, least in enumerate(CLASSES):
+    which: list[np.ndarray] = []
+    for c, least in enumerate([*CLASSES, *CLASSES]):
         one = allowed(least) == 0  # nothing may differ: a table of the first and the last word
         reach = max(least, int(STEPS * least))
-        plans = [(0, [0, least - 1])] if one else [(t % WALKS, _sample(reach, min(BITS, least // 2), rng)) for t in range(TABLES)]
+        plans = [(0, [0, least - 1])] if one else [(t % WALKS, _sample(reach, min(BITS, 2 * least // 3 if c >= len(CLASSES) else least // 2), rng)) for t in range(TABLES)]
         z = np.flatnonzero(kind == c)
         if not len(z):
             continue
         for walk in sorted({w for w, _ in plans}):
             far = max(p[-1] for w, p in plans if w == walk) + 1
-            walked = [(at.copy(), x) for at, x in embed(numbers, _bits(words, walk), starts[z], far)]
+            walked = [(at.copy(), x) for at, x in embed(np.append(words, K.U64(0)), _bits(words, walk), starts[z], far)]
             for steps in (p for w, p in plans if w == walk):
                 inside = np.all([walked[j][0] < starts[z] + size[z] for j in steps], axis=0)
-                key = _key([walked[j][1] for j in steps])[inside]
+                if not inside.any():
+                    continue
+                parts = [(walked[j][1] * lane)[inside] for j, lane in zip(steps, K._LANE)]
+                key = K.mix(sum(parts[1:], parts[0]))
                 order = np.argsort(key, kind="stable")
                 keys, first = np.unique(key[order], return_index=True)
-                for j in steps:
-                    seen.setdefault((c, walk, j), np.zeros(_FILTER, bool))[walked[j][1][inside] % _FILTER] = True
-                out.tables.append(Table(walk, steps, keys, np.append(first, len(order)), z[inside][order], [seen[c, walk, j] for j in steps]))
-    out.tables.sort(key=lambda t: t.walk)
+                out.tables.append(Table(walk, STRIDE if c >= len(CLASSES) else 1, steps, keys, np.append(first, len(order)), sum(map(len, which)), np.unique(parts[0] + parts[1])))
+                which.append(z[inside][order])
+    out.which = np.concatenate(which) if which else out.which
     return out
 
 
@@ -221,38 +247,27 @@ def candidates(items: Items, hashes: np.ndarray, w: K.Words) -> np.ndarray:
     """``[item, start, row]`` of places that agree with a window in some table; ``start`` is where the item would begin, in words of the chunk."""
     found = []
     n = len(hashes)
-    ids = np.append(items.number(hashes), 0)
-    starts = np.arange(n)
+    ids = items.number(hashes)
+    walked_words = np.append(hashes, K.U64(0))
     back = int(items.offset.max(initial=0))
     span = n + back + 1
-    for walk in sorted({t.walk for t in items.tables}):
-        tables = [t for t in items.tables if t.walk == walk]
+    for stride, walk in sorted({(t.stride, t.walk) for t in items.tables}):
+        tables = [t for t in items.tables if (t.stride, t.walk) == (stride, walk)]
         need = {j for t in tables for j in t.steps}
-        walked = {j: x for j, (_, x) in enumerate(embed(ids, _bits(hashes, walk), starts, max(need) + 1)) if j in need}
-        folded_ = {j: x & (_FILTER - 1) for j, x in walked.items()} if len(items.vocabulary) >= _FILTER else walked
-        passed: dict[int, np.ndarray] = {}
+        walked = {j: x for j, (_, x) in enumerate(embed(walked_words, _bits(hashes, walk), np.arange(0, n, stride), max(need) + 1)) if j in need}
+        lanes = {(j, k): walked[j] * K._LANE[k] for k in (0, 1) for j in {t.steps[k] for t in tables}}
         for t in tables:
-            at = None
-            for j, ok in zip(t.steps, t.filters):
-                if at is None:
-                    at = passed.get(id(ok))
-                    if at is None:
-                        at = passed[id(ok)] = np.flatnonzero(ok.take(folded_[j], mode="clip"))
-                else:
-                    at = at[ok.take(folded_[j].take(at, mode="clip"), mode="clip")]
-            if not len(at) or not len(t.keys):
-                continue
-            hit, slot = t.find(_key([walked[j][at] for j in t.steps]))
-            if not len(hit):
-                continue
-            at, many = at[hit], t.first[slot + 1] - t.first[slot]
-            take = np.repeat(t.first[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            which = t.which[take]
-            place = np.repeat(at, many)
-            found.append((items.owner[which] * w.chunk.n + np.searchsorted(w.bounds, place, "right") - 1) * span + place - items.offset[which] + back)
+            at, slot = t.find(lanes, walked)
+            if len(at):
+                found.append((at * stride, t.first[slot] + t.base, t.first[slot + 1] - t.first[slot]))
     if not found:
         return np.zeros((0, 3), np.int64)
-    code = np.unique(np.concatenate(found))
+    place, first, many = (np.concatenate(x) for x in zip(*found))
+    which = items.which.take(np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum()))
+    place = np.repeat(place, many)
+    found = (items.owner[which] * w.chunk.n + np.searchsorted(w.bounds, place, "right") - 1) * span + place - items.offset[which] + back
+    found.sort()
+    code = found[np.append(True, found[1:] != found[:-1])]
     item, row = np.divmod(code // span, w.chunk.n)
     start = code % span - back
     # a match has all but the allowed edits of the item's words, and of its distinct words, in its surroundings
@@ -267,12 +282,13 @@ def candidates(items: Items, hashes: np.ndarray, w: K.Words) -> np.ndarray:
         which = np.repeat(np.arange(len(m)), m)
         x = ids[np.repeat(lo[z] - np.cumsum(m) + m, m) + np.arange(m.sum())]
         slot = x & (_WIDTH - 1)
-        there = items.bag.reshape(-1).take(item[z][which] * _WIDTH + slot) & (x > 0)
-        ok = np.bincount(which[there], minlength=len(m)) >= (size - edits)[z]
-        there &= ok[which]
+        there = np.flatnonzero(items.bag.reshape(-1).take(np.repeat(item[z] * _WIDTH, m) + slot) & (x > 0))
+        owner = which.take(there)
+        ok = np.bincount(owner, minlength=len(m)) >= (size - edits)[z]
+        there = there[ok.take(owner)]
         rank = np.cumsum(ok) - 1
         present = np.zeros((int(ok.sum()), _WIDTH), bool)
-        present[rank[which[there]], slot[there]] = True
+        present[rank[which.take(there)], slot.take(there)] = True
         ok[ok] = present.sum(axis=1) >= (kinds[item[z]] - edits[z])[ok]
         keep[z] = ok
     return np.stack([item, start, row], 1)[keep]
