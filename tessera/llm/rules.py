@@ -1,12 +1,15 @@
 """Quality rules: statistics of a text, and decision lists learnt from labelled statistics.
 
 Sequential covering: each rule is grown condition by condition on two thirds of the labelled
-rows (FOIL gain), then pruned on the rest; covered rows go and the next rule is grown.  The list
-becomes one ordered Spark conditional expression over the statistics.
+rows (FOIL gain), then pruned on the rest; covered rows go and the next rule is grown.  A rule stays
+if it is pure and unlikely to be so by chance, one test for all sizes; rows with equal statistics and
+label count once.  The list becomes one ordered Spark conditional expression over the statistics.
 
 Defined results: a null or empty text has no words and fails the base rule; very long texts are
 measured whole; repeated rows get equal results; an empty table gives an empty result; without
-labels of both classes the list is empty and keeps everything the base rule keeps; columns of the
+labels of both classes the list is empty and keeps everything the base rule keeps; a document with
+several labels has the lowest; labels without a document are left aside; of thresholds with equal
+gain the first statistic's lowest is taken, and of rules that hold the first is named; columns of the
 input are passed through, and statistics are held in one struct so that names can't clash.
 """
 
@@ -26,8 +29,10 @@ from .store import ship
 
 #: Labelled rows that a list is learnt from, at most.
 MAX_FIT_ROWS = 40_000
-#: Of so many good rows, a rule that rejects few rows must reject none.
-CLEAN_ROWS = 2_000
+#: Thresholds of a statistic that are tried.
+BINS = 64
+#: A rule stays if this share of what it rejects is bad, and if rejecting so purely by chance is this unlikely.
+PRECISION, CHANCE = 0.9, 0.01
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_marks", "n_chars", "n_word_kinds"]
 FEATURES = ["n_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "words_per_line", "digit_share", "upper_share", "mark_share", "kind_share"]
 STATS = "_quality_stats"
@@ -171,7 +176,7 @@ class Rule:
         return " and ".join(map(str, self.conditions))
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int, bins: int = 64) -> Rule:
+def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int, bins: int = BINS) -> Rule:
     conditions: list[Condition] = []
     live = np.ones(len(x), bool)
     while len(conditions) < max_conditions:
@@ -182,7 +187,9 @@ def _grow(x: np.ndarray, bad: np.ndarray, max_conditions: int, bins: int = 64) -
         for j, name in enumerate(FEATURES):
             v, y = x[live, j], bad[live]
             cuts = np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[:-1], method="lower"))
-            cuts = np.unique(np.concatenate([cuts, np.quantile(v[y], np.linspace(0, 1, 17), method="lower")]))
+            at, ordered = np.quantile(v[y], np.linspace(0, 1, 17), method="lower"), np.sort(v)
+            below = np.searchsorted(ordered, at, "left") - 1  # the value before each, so that a rule can begin with it
+            cuts = np.unique(np.concatenate([cuts, at, ordered[below[below >= 0]]]))
             hp, hn = np.sort(v[y]), np.sort(v[~y])
             lp, ln = np.searchsorted(hp, cuts, "right"), np.searchsorted(hn, cuts, "right")
             for above, cp, cn in ((False, lp, ln), (True, p - lp, n - ln)):
@@ -213,22 +220,42 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return best
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, max_rules: int = 12, max_conditions: int = 4, seed: int = 7) -> list[Rule]:
-    """A decision list that rejects; a rule stays only if its Laplace-corrected precision on the
-    pruning part is at least ``precision``, or if it rejects none of at least ``CLEAN_ROWS`` good rows."""
+def by_chance(hits: int, right: int, rate: float) -> float:
+    """Chernoff's bound of the chance that ``right`` or more of ``hits`` rows are bad where a share ``rate`` is."""
+    q = right / hits
+    if q <= rate:
+        return 1.0
+    return float(np.exp(-hits * (q * np.log(q / rate) + ((1 - q) * np.log((1 - q) / (1 - rate)) if q < 1 else 0.0))))
+
+
+def _fold(x: np.ndarray, turn: int) -> np.ndarray:
+    """A fold from 0 to 2 of each row, by its values."""
+    h = np.full(len(x), K.U64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    for j in range(x.shape[1]):
+        h = K.mix(h + np.ascontiguousarray(x[:, j]).view(K.U64))
+    return (h >> K.U64(33)).astype(np.int64) % 3
+
+
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = PRECISION, chance: float = CHANCE, max_rules: int = 12, max_conditions: int = 4, seed: int = 7) -> list[Rule]:
+    """A decision list that rejects.
+
+    Rows with the same statistics and label are one observation, so that copies prove nothing.  A rule stays if
+    ``precision`` of what it rejects is bad, on the pruning part too, and if a rule as pure would be found among all
+    tested thresholds with a chance of ``chance`` at most; the same at every size.
+    """
     rules: list[Rule] = []
-    rng = np.random.default_rng(seed)
-    x, bad = np.asarray(x, float), np.asarray(bad, bool)
-    misses = 0
+    rows = np.unique(np.column_stack([np.asarray(x, float) + 0.0, np.asarray(bad, float)]), axis=0)
+    x, bad = rows[:, :-1], rows[:, -1] > 0
+    tests = 2 * len(FEATURES) * BINS
+    misses = turn = 0
     while len(rules) < max_rules and misses < 3 and bad.any() and not bad.all():
-        part = rng.random(len(x)) < 2 / 3
+        turn += 1
+        part = _fold(x, seed + turn) > 0
         rule = _prune(_grow(x[part], bad[part], max_conditions), x[~part], bad[~part])
         hit = rule.holds(x)
-        held = hit & ~part
-        right = int((held & bad).sum())
-        sure = right + 1 >= precision * (held.sum() + 2) and (hit & bad).sum() >= precision * hit.sum()
-        clean = (hit & bad).sum() >= 3 and not (hit & ~bad).any() and (~bad).sum() >= CLEAN_ROWS
-        if not rule.conditions or not (sure or clean):
+        held, right = hit & ~part, int((hit & bad).sum())
+        pure = right >= precision * hit.sum() and (held & bad).sum() >= precision * held.sum()
+        if not rule.conditions or not right or not pure or tests * by_chance(int(hit.sum()), right, bad.mean()) > chance:
             misses += 1
             continue
         rules.append(rule)
