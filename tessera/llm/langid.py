@@ -6,8 +6,10 @@ sample of labelled rows; the language of the centroid with the greatest cosine i
 whose cosine is below what ``REJECT`` of its language's own training rows reach is marked rejected.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; ids and labels of
-the predicted rows are never looked at; without training rows everything is ``und``; an empty
-table gives an empty result; other columns are left aside.
+the predicted rows are never looked at; without training rows everything is ``und``; of equal cosines
+the first centroid of the first language in order wins; very long texts count whole; repeated rows get
+equal results each; an empty table gives an empty result; other columns are left aside, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +28,6 @@ from .store import ship
 
 #: Labelled rows that are fitted, at most, over all languages.
 MAX_FIT_ROWS = 2_000
-MAX_LANGUAGES = 400
 DIMS, CLUSTERS, ROUNDS, REJECT = 4096, 3, 8, 0.001
 #: Rows of a dense block of vectors.
 ROWS = 64
@@ -121,17 +122,16 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc_i
     """Fit on at most ``max_rows`` of the rows where ``training`` holds, as many a language, chosen by a hash of their ids."""
     ship(docs.sparkSession)
     labelled = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    per = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES + 1).collect()
+    per = labelled.groupBy(lang).count().collect()  # a row a language
     if not per:
         return None
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     each = max(1, max_rows // len(per))
-    whole = 1 << 24
-    draw = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(whole))
-    chosen = F.lit(False)
-    for r in per:  # about `each` rows a language, whichever they are
-        chosen = chosen | ((F.col(lang) == r[lang]) & (draw < int(min(1.0, each / r["count"]) * whole)))
+    # twice as many and some more are drawn, then `each` stay: no language ends without rows by bad luck
+    whole = 1 << 30
+    bounds = docs.sparkSession.createDataFrame([(r[lang], int(min(1.0, (2 * each + 20) / r["count"]) * whole)) for r in per], T.StructType([T.StructField("_of", docs.schema[lang].dataType), T.StructField("_bound", T.LongType())]))
+    draw = F.xxhash64(F.lit("sample"), F.col(key), F.col(text))
+    drawn = labelled.select(F.col(key).cast("string").alias("key"), F.col(lang).alias("_lang"), F.col(text).alias("text"), draw.alias("_draw")).join(F.broadcast(bounds), F.col("_lang") == F.col("_of")).where(F.pmod("_draw", F.lit(whole)) < F.col("_bound"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_draw", F.lit(whole)), "_draw"))
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +139,8 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc_i
             found = [np.minimum(row, 65535).astype(np.uint16).tobytes() for c in K.chunks(batch.column("text")) for _, block in counts(c) for row in block]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(found, pa.binary())], names=schema.names)
 
-    sample = labelled.where(chosen).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = sample.mapInArrow(run, schema).orderBy("key", "lang", F.md5("counts")).limit(2 * max_rows).collect()
+    sample = drawn.withColumn("_rank", rank).where(F.col("_rank") <= each).select("key", F.col("_lang").cast("string").alias("lang"), "text")
+    rows = sample.mapInArrow(run, schema).orderBy("key", "lang", F.md5("counts")).collect()  # MAX_FIT_ROWS, or one a language
     if not rows:
         return None
     return train(np.stack([np.frombuffer(r["counts"], np.uint16) for r in rows]), [r["lang"] for r in rows])
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     """A row per row of ``docs``: ``keep``, ``lang_pred``, ``score`` (the cosine), ``rejected``."""
     ship(docs.sparkSession)
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES * CLUSTERS * DIMS floats at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # CLUSTERS * DIMS floats a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
