@@ -5,9 +5,14 @@ a number of words; its slots go to output shards by multinomial draws, a slot fi
 through the source's pseudorandom index permutation (a new one every epoch), and slots and blocks
 join by index.  The last slot of a source takes only the words still owed.
 
+What the driver holds is a row a source and shard; more than ``MAX_SOURCES`` sources raise an error
+rather than being cut.
+
 Defined results: a null text has size 0; sizes of 0 are never taken; null is a source of its own,
-last in order; rows that repeat an id are packed one by one; an empty table gives an empty result;
-other columns are left aside.  All choices follow from ``seed`` and the rows: reruns agree.
+last in order; very long texts run over as many blocks as they need; rows that repeat an id are packed
+one by one, in order of a hash of id and text, then id; rows that are equal throughout stand in any
+order, which changes nothing; an empty table gives an empty result; other columns are left aside,
+whatever their names.  All choices follow from ``seed`` and the rows: reruns agree.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ TOTAL_SHARE, MOST = 1.5, 2.0
 SHARD_SLOTS, MAX_SHARDS = 4096, 1024
 #: Documents that are laid out together; so many rows are sorted in one task, whatever their source.
 RUN_ROWS = 1024
+#: Slots that one task lays out.
+TASK_SLOTS = 1 << 16
 MAX_SOURCES = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,7 +147,11 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     shards = spark.createDataFrame(shard_rows, "_shard int, _sid int, _first long, _count long")
 
     k = F.col("_k")
-    slots = shards.repartition("_shard", "_sid").join(F.broadcast(sources), "_sid").withColumn("_k", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1))).where("_count > 0")
+    # slots are laid out from ranges of bounded length, in tasks of bounded number
+    parts = max(1, -(-sum(slot_counts) // TASK_SLOTS))
+    end = F.col("_first") + F.col("_count") - 1
+    ranges = shards.where("_count > 0").withColumn("_from", F.explode(F.sequence(F.col("_first"), end, F.lit(SHARD_SLOTS).cast("long")))).withColumn("_to", F.least(end, F.col("_from") + SHARD_SLOTS - 1))
+    slots = ranges.repartition(parts, "_sid", "_from").join(F.broadcast(sources), "_sid").withColumn("_k", F.explode(F.sequence("_from", "_to")))
     epoch = F.floor(k / F.col("_blocks")).cast("long")
     at = k - epoch * F.col("_blocks")
     product = F.when(epoch == 0, F.col("_a0")).otherwise(F.col("_a1")).cast("decimal(19,0)") * at.cast("decimal(19,0)") + F.when(epoch == 0, F.col("_b0")).otherwise(F.col("_b1"))
