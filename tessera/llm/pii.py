@@ -1,8 +1,12 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
+A span of the base list always stands, with its score beside it; others need a score of ``THRESHOLD``.
+
 Defined results: a null or empty text has no spans; a very long text is scanned whole in
-time linear in its length; repeated rows each get their own result; an empty table gives an
-empty result; columns beside the text are passed through, whatever their names.
+time linear in its length; repeated rows each get their own result; spans of several kinds may overlap
+and all stand, in order of start, then kind as listed; a mask takes the longest of those that begin
+together; an empty table gives an empty result; columns beside the text are passed through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ _WORDS = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|social-security)\b"),
 }
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "local": 0.3, "iban": 0.8, "ssn": 0.3}
 
 
 def luhn(digits: str) -> bool:
@@ -110,13 +114,14 @@ def _cards_within(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's prior, raised by a context word nearby."""
+    """The prior of the span's kind and shape, raised by a context word nearby."""
     near = text[max(0, start - CONTEXT) : start] + " \0 " + text[end : end + CONTEXT]
-    return min(1.0, _PRIOR[kind] + 0.3 * bool(_WORDS[kind].search(near)))
+    prior = _PRIOR["local" if kind == "phone" and text[start] != "+" else kind]
+    return min(1.0, prior + 0.3 * bool(_WORDS[kind].search(near)))
 
 
-def extra(text: str) -> list[tuple[str, int, int]]:
-    """Spans beyond the base list: bank accounts with a right checksum, cards that stand next to other digits, and social security and local phone numbers that the context supports."""
+def proposed(text: str) -> list[tuple[str, int, int]]:
+    """Spans beyond the base list: bank accounts with a right checksum, cards that stand next to other digits, social security and local phone numbers."""
     found: list[tuple[str, int, int]] = []
     if not _DIGIT.search(text):
         return found
@@ -132,16 +137,17 @@ def extra(text: str) -> list[tuple[str, int, int]]:
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 14 and not (14 <= len(d := _digits(m.group())) <= 19 and luhn(d)):
             found += _cards_within(text, *m.span())
-    for m in _LOCAL_PHONE.finditer(text):
-        if score(text, "phone", *m.span()) >= 1.0:
-            found.append(("phone", *m.span()))
+    found += [("phone", *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     if "-" in text:
-        for m in _SSN.finditer(text):
-            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000" and score(text, "ssn", *m.span()) >= THRESHOLD:
-                found.append(("ssn", *m.span()))
+        found += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
     return found
 
 
+def extra(text: str) -> list[tuple[str, int, int]]:
+    """The proposed spans whose score reaches ``THRESHOLD``."""
+    return [s for s in proposed(text) if score(text, *s) >= THRESHOLD]
+
+
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
     """All spans of a text with their scores."""
     return [(*s, score(text, *s)) for s in sorted({*base(text), *extra(text)}, key=lambda s: (s[1], ORDER[s[0]]))] if text else []
@@ -163,10 +169,10 @@ def mask_text(text: str | None) -> str | None:
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """A row per row of ``docs``: ``keep``, counts, base digest and spans."""
+    """A row per row of ``docs``: ``keep``, counts, base digest, spans and their scores (0 to 1, in the order of the spans)."""
     ship(docs.sparkSession)
-    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(S.scanner(base, extra, BASE, ORDER, keep, text), schema)
+    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("scores", T.StringType())])
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(S.scanner(base, extra, BASE, ORDER, keep, text, score), schema)
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:

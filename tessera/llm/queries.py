@@ -55,7 +55,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(read(spark, sf_dir, "documents"), "doc_id")[0]
+    """With the ledger that the setting ``spark.tessera.secrets.ledger`` names, if it does; else all blobs are unseen."""
+    docs, folder = read(spark, sf_dir, "documents"), spark.conf.get("spark.tessera.secrets.ledger", None)
+    return secrets.scan_kept(docs, "doc_id", folder) if folder else secrets.scan(docs, "doc_id")[0]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_neardup, op3_ppm, op4_decontam, op5_mixing, op6_langid, op7_html, op8_pii, op9_quality, op10_secrets)}

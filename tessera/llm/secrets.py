@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,8 @@ def extra(text: str) -> list[tuple[str, int, int]]:
 
 _FOUND = T.StructType([T.StructField("_blob", T.BinaryType()), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
+_LEDGER = T.StructType([*_FOUND.fields, T.StructField("rule_version", T.IntegerType())])
+
 
 def scan(versions: DataFrame, path: str, text: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``versions``, and the ledger rows that this run adds.
@@ -66,8 +68,10 @@ def scan(versions: DataFrame, path: str, text: str = "text", ledger: DataFrame |
     unseen = v.groupBy("_blob").agg(F.min("_at").alias("_at"))  # one place of each blob to read it from
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("_blob"), "_blob", "left_anti")
-    # keyed by blob and place, so that a blob in a third of all rows is no hot key
-    todo = v.select("_blob", "_at", "_text").join(unseen.hint("shuffle_hash"), ["_blob", "_at"], "left_semi")
+    # keyed by blob and place, so that a blob in a third of all rows is no hot key; rows that repeat both come down to one before they travel
+    repeated = not v.groupBy("_blob", "_at").count().where("count > 1").isEmpty()
+    places = v.select("_blob", "_at", "_text")
+    todo = (places.dropDuplicates(["_blob", "_at"]) if repeated else places).join(unseen.hint("shuffle_hash"), ["_blob", "_at"], "left_semi")
     found = todo.select("_blob", "_text").mapInArrow(S.scanner(base, extra, BASE, ORDER, ["_blob"], "_text"), _FOUND)
     fresh = table(found.dropDuplicates(["_blob"]).withColumn("rule_version", F.lit(RULE_VERSION)), "secret-ledger")
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
@@ -80,3 +84,23 @@ def scan(versions: DataFrame, path: str, text: str = "text", ledger: DataFrame |
         F.coalesce("base_sha256", F.lit(none)).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     ), fresh
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger of earlier runs; None if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(_LEDGER).parquet(folder)
+
+
+def scan_kept(versions: DataFrame, path: str, folder: str, text: str = "text") -> DataFrame:
+    """``scan`` with the ledger in ``folder``: what earlier runs saw isn't scanned again, and what this run scans is added.
+
+    Rows are appended after their scan is written whole, so a run that is lost adds nothing; a blob that two runs
+    scan at once stands twice with equal findings, and one is read.
+    """
+    seen = read_ledger(versions.sparkSession, folder)
+    found, fresh = scan(versions, path, text, None if seen is None else seen.dropDuplicates(["_blob", "rule_version"]))
+    fresh.write.mode("append").parquet(folder)
+    return found
