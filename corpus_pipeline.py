@@ -4,13 +4,17 @@ Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before k
 DataFrame; all but the last return the columns of the documents.  ``run`` writes each stage's result
 as Parquet in the shared folder and reads it again for the next.
 
-Rows whose id is null are kept by near-dedup: they can't be named as duplicates.
+Defined results, for all stages: rows whose id is null, or whose text has no words, can't be named as
+duplicates, and a text without words fails the quality rules; rows are removed by their own text, so an
+id on several texts loses only those that go, and of rows that repeat id and text near-dedup keeps one;
+very long texts are read whole; ties follow the operators' docstrings (the smallest id of a group
+stays); empty tables give empty results; other columns pass through all stages but the last, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, neardup, pii, rules
 from tessera.llm.store import read, table
@@ -23,8 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near-duplicates."""
-    gone = table(neardup.link(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return neardup.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
