@@ -28,5 +28,4 @@ class EngineConfig:
     async_timeout_s: float = 60.0
     cache_ttl_s: float = 7 * 24 * 3600.0
     #: Key sets of at most this many rows are broadcast; larger ones are joined by shuffle.
-    broadcast_rows: int = 500_000
     fts: FtsConfig = field(default_factory=FtsConfig)

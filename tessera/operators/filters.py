@@ -17,12 +17,21 @@ from . import fts, vectors
 _NOT_LINEAR = re.compile(r"\(\?(?:[=!]|<[=!]|>)|\\[1-9]|\\k<|[*+?}]\+")
 
 
+#: Frontiers of at most so many subjects are broadcast.
+FRONTIER = 50_000
+
+
 def climb(graph: Graph, subjects: DataFrame, hops: int) -> DataFrame:
-    """The subjects exactly ``hops`` steps above, under any predicate; every step's frontier is made distinct before the next."""
+    """The subjects exactly ``hops`` steps above, under any predicate.
+
+    Every step's frontier is made distinct and written before the next; a small one is broadcast, so that the quads aren't shuffled.
+    """
     score = [c for c in subjects.columns if c == "score"]
     for _ in range(hops):
         up = graph.quads().select(F.col("s").alias("_up"), F.col("o").alias("s"))
-        subjects = up.join(subjects, "s").select(F.col("_up").alias("s"), *score)
+        subjects = materialized(subjects, "frontier")
+        small = subjects.limit(FRONTIER + 1).count() <= FRONTIER
+        subjects = up.join(F.broadcast(subjects) if small else subjects, "s").select(F.col("_up").alias("s"), *score)
         subjects = subjects.groupBy("s").agg(F.max("score").alias("score")) if score else subjects.distinct()
     return subjects
 
@@ -61,6 +70,14 @@ def subjects(graph: Graph, f: Filter, config: EngineConfig, query_vector: list[f
         if f.kind == "pair":
             q = q.where(graph.isin("o", f.objects))
         return climb(graph, q.select("s").distinct(), f.hops)
+    if f.kind in ("regex", "fts") and graph.inline and index is None:
+        texts = graph.quads().where(F.col("o").startswith('"'))
+        mine = q.where(F.col("o").startswith('"'))
+        if f.prop:
+            mine = mine.where(F.col("p") == graph.key(f.prop))
+        if f.kind == "regex":
+            return climb(graph, mine.where(F.col("o").rlike(full_match(f.text))).select("s").distinct(), f.hops)
+        return climb(graph, fts.search_in_place(texts.select(F.col("o").alias("value")), mine.select("s", F.col("o").alias("value")), f.text, config.fts), f.hops)
     if f.kind == "regex":
         hit = graph.literals(f.prop).where(F.col("value").rlike(full_match(f.text))).select("key")
         return climb(graph, _literal_subjects(graph, hit, f), f.hops)

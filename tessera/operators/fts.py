@@ -1,7 +1,8 @@
 """Full-text search: conjunctive BM25 over literals.
 
-Without an index a search is two scans of the literals and no shuffle of texts: term counts come
-from the token array of each row, and the corpus figures are one aggregation.  ``Index`` keeps
+Without an index a search is two scans of the literals: term counts come from the token array of each
+row, and the corpus figures are one aggregation.  Where literals stand in the quads, rows are scored
+in place and no text is shuffled.  ``Index`` keeps
 postings as tables clustered by term, so that a search reads only its terms' row groups.
 """
 
@@ -22,30 +23,56 @@ def _bm25(tf: Column, length: Column, n: float, df: float, avgdl: float, c: FtsC
     return idf * tf * (c.k + 1) / (tf + c.k * (1 - c.b + c.b * length / F.lit(avgdl)))
 
 
-def search(docs: DataFrame, query: str, config: FtsConfig) -> DataFrame:
-    """``key, score`` of the rows of ``docs(key, value)`` that have all terms of the query."""
-    ship(docs.sparkSession)
-    terms = query_tokens(query, config)
-    d = docs.select("key", tokens(F.col("value"), config).alias("t"))
-    if not terms:
-        return d.where(F.lit(False)).select("key", F.lit(0.0).alias("score"))
+def _counts(terms: list[str]) -> list[Column]:
+    """How often each term stands in the tokens ``t``."""
 
     def count(word: str) -> Column:
         return F.size(F.filter("t", lambda x: x == word))
 
-    counts = [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = d.select("key", F.size("t").alias("len"), *counts)
-    n, avgdl, *df = counted.agg(F.count("*"), F.avg("len"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms)))).first()
+    return [count(w).alias(f"tf{i}") for i, w in enumerate(terms)]
+
+
+def _scored(d: DataFrame, terms: list[str], figures: tuple, config: FtsConfig, keep: list[str]) -> DataFrame:
+    """``keep`` and ``score`` of the rows of ``d(keep, value)`` that have all terms."""
+    n, avgdl, *df = figures
     if config.stemmer == "none":  # a row without a term's letters needn't be cut into tokens
-        likely = docs
         for w in terms:
-            likely = likely.where(folded(F.col("value")).contains(w))
-        counted = likely.select("key", tokens(F.col("value"), config).alias("t")).select("key", F.size("t").alias("len"), *counts)
+            d = d.where(folded(F.col("value")).contains(w))
+    counted = d.select(*keep, tokens(F.col("value"), config).alias("t")).select(*keep, F.size("t").alias("len"), *_counts(terms))
     hit = F.lit(True)
     for i in range(len(terms)):
         hit = hit & (F.col(f"tf{i}") > 0)
     score = sum((_bm25(F.col(f"tf{i}"), F.col("len"), n, x, avgdl or 1.0, config) for i, x in enumerate(df)), F.lit(0.0))
-    return counted.where(hit).select("key", score.alias("score"))
+    return counted.where(hit).select(*keep, score.alias("score"))
+
+
+def _figures(counted: DataFrame, terms: list[str]) -> tuple:
+    return tuple(counted.agg(F.count("*"), F.avg("len"), *(F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms)))).first())
+
+
+def search(docs: DataFrame, query: str, config: FtsConfig) -> DataFrame:
+    """``key, score`` of the rows of ``docs(key, value)`` that have all terms of the query; every row is a text of its own."""
+    ship(docs.sparkSession)
+    terms = query_tokens(query, config)
+    if not terms:
+        return docs.where(F.lit(False)).select("key", F.lit(0.0).alias("score"))
+    counted = docs.select(tokens(F.col("value"), config).alias("t")).select(F.size("t").alias("len"), *_counts(terms))
+    return _scored(docs, terms, _figures(counted, terms), config, ["key"])
+
+
+def search_in_place(texts: DataFrame, rows: DataFrame, query: str, config: FtsConfig) -> DataFrame:
+    """``s, score`` of ``rows(s, value)``; the corpus is the distinct texts of ``texts(value)``.
+
+    Texts are told apart by 128 bits of hashes, which are shuffled with the counts in place of the texts.
+    """
+    ship(rows.sparkSession)
+    terms = query_tokens(query, config)
+    if not terms:
+        return rows.where(F.lit(False)).select("s", F.lit(0.0).alias("score"))
+    address = [F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), "value").alias("h2")]
+    counted = texts.select(*address, tokens(F.col("value"), config).alias("t")).select("h1", "h2", F.size("t").alias("len"), *_counts(terms))
+    once = counted.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in counted.columns[2:]))
+    return _scored(rows, terms, _figures(once, terms), config, ["s"]).groupBy("s").agg(F.max("score").alias("score"))
 
 
 @dataclass

@@ -12,7 +12,7 @@ from ..plans.spec import QuerySpec
 
 def entity_rows(graph: Graph, subjects: DataFrame, spec: QuerySpec) -> DataFrame:
     """Distinct ``s, p, o, g`` of the subjects, by the projection of the request; the subjects' other columns stay."""
-    q = graph.quads()
+    q = graph.by_subject()
     if spec.only_properties:
         q = q.where(graph.isin("p", spec.only_properties))
     elif spec.exclude_properties:
@@ -22,7 +22,7 @@ def entity_rows(graph: Graph, subjects: DataFrame, spec: QuerySpec) -> DataFrame
 
 def spo(graph: Graph, s: str | None = None, p: str | None = None, o: str | None = None, g: str | None = None) -> DataFrame:
     """Decoded ``s, p, o`` of matching quads, duplicates and all; None or empty matches everything."""
-    q = graph.quads()
+    q = graph.by_subject() if s else graph.quads()
     for column, term in zip("spog", (s, p, o, g)):
         if term is not None and not isinstance(term, str):
             raise TypeError(f"{column} must be a string")
@@ -35,7 +35,8 @@ def sp(graph: Graph, subjects: list[str], p: str | None = None) -> DataFrame:
     """``s, o`` of the listed subjects, duplicates kept."""
     if not isinstance(subjects, (list, tuple)):
         raise TypeError("subjects must be a list")
-    q = graph.quads().where(graph.isin("s", subjects)) if subjects else graph.quads().where(F.lit(False))
+    q = graph.by_subject()
+    q = q.where(graph.isin("s", subjects)) if subjects else q.where(F.lit(False))
     if p:
         q = q.where(F.col("p") == graph.key(p))
     return q.select("s", "o")

@@ -110,11 +110,15 @@ class Engine:
 
     def _assembled(self, plan: Plan, page: DataFrame) -> dict:
         entities: dict[str, dict] = {}
-        for r in sorted(plan.entities(page).collect(), key=lambda r: r["pos"]):
-            e = entities.setdefault(r["s"], {"id": r["s"], "graph": set()})
-            e.setdefault(r["p"], set()).add(r["o"])
-            if r["g"]:
-                e["graph"].add(r["g"])
+        # a page's rows come to the driver anyway: its terms are looked up by their keys, without a join
+        rows = sorted(pages.entity_rows(self.graph, F.broadcast(page.select("s", "pos")), plan.spec).collect(), key=lambda r: r["pos"])
+        names = self.graph.names({r[c] for r in rows for c in "spog"})
+        for r in rows:
+            s, p, o, g = (names.get(r[c]) for c in "spog")
+            e = entities.setdefault(s, {"id": s, "graph": set()})
+            e.setdefault(p, set()).add(o)
+            if g:
+                e["graph"].add(g)
         out = {s: {k: sorted(v, key=str) if isinstance(v, set) else v for k, v in e.items()} for s, e in entities.items()}
         for predicate in plan.spec.paths:
             df = plan.paths(predicate, page)

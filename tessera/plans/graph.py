@@ -20,10 +20,20 @@ class Graph:
 
     spark: SparkSession
     version: str = "0"
+    #: Whether literals stand in the quads themselves, so that they can be read in place.
+    inline = False
 
     def quads(self) -> DataFrame:
         raise NotImplementedError
 
+    def by_subject(self) -> DataFrame:
+        """The quads, from a copy clustered by subject if there is one."""
+        return self.quads()
+
+    def names(self, keys: set) -> dict:
+        """Terms by key, of a bounded set of keys."""
+        return {k: k for k in keys}
+
     def key(self, term: str) -> Column:
         raise NotImplementedError
 
@@ -58,6 +68,8 @@ class Graph:
 
 
 class VirtualGraph(Graph):
+    inline = True
+
     def __init__(self, quads: DataFrame, vectors: DataFrame | None = None) -> None:
         self._quads, self._vectors, self.spark = quads, vectors, quads.sparkSession
 
@@ -94,7 +106,8 @@ class VirtualGraph(Graph):
 class StoredGraph(Graph):
     """Hashed quads with dictionaries ``iris`` and ``literals`` (``hash, value``)."""
 
-    def __init__(self, quads: DataFrame, iris: DataFrame, literals: DataFrame, vectors: DataFrame | None = None, version: str = "0") -> None:
+    def __init__(self, quads: DataFrame, iris: DataFrame, literals: DataFrame, vectors: DataFrame | None = None, version: str = "0", by_subject: DataFrame | None = None) -> None:
+        self._by_subject = quads if by_subject is None else by_subject
         self._quads, self._iris, self._literals, self._vectors = quads, iris, literals, vectors
         self.spark, self.version = quads.sparkSession, version
 
@@ -113,13 +126,26 @@ class StoredGraph(Graph):
             return every
         return every.join(self._quads.where(F.col("p") == self.key(predicate)).select(F.col("o").alias("key")), "key", "left_semi")
 
+    def by_subject(self) -> DataFrame:
+        return self._by_subject
+
+    def _terms(self) -> DataFrame:
+        return self._iris.select("hash", "value").union(self._literals.select("hash", "value"))
+
+    def names(self, keys: set) -> dict:
+        out: dict = {}
+        wanted = sorted(k for k in keys if k is not None)
+        for i in range(0, len(wanted), 10_000):
+            out |= {r["hash"]: r["value"] for r in self._terms().where(F.col("hash").isin(*wanted[i : i + 10_000])).collect()}
+        return out
+
     def decoded(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
-        both = self._iris.select("hash", "value").union(self._literals.select("hash", "value"))
-        order = df.columns
+        order, columns = df.columns, list(columns)
+        wanted = df.select(F.explode(F.array(*columns)).alias("hash")).distinct()
+        # one pass over the dictionaries for all columns; a term may stand in both, with the same text
+        names = self._terms().join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("value").alias("value"))
         for c in columns:
-            # a term may stand in both dictionaries: both have the same text
-            names = both.join(df.select(F.col(c).alias("hash")), "hash", "left_semi").groupBy("hash").agg(F.min("value").alias(f"_{c}"))
-            df = df.join(names.withColumnRenamed("hash", c), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+            df = df.join(names.select(F.col("hash").alias(c), F.col("value").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
         return df.select(*order)
 
     def is_iri(self, df: DataFrame, column: str) -> DataFrame:

@@ -11,16 +11,18 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder of our own."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own, in local mode only."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if told:
         return told.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessera-graph-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -33,12 +35,6 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def semi(df: DataFrame, keys: DataFrame, column: str, limit: int) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among ``keys`` (one column of the same name): broadcast if at most ``limit`` rows, else shuffled."""
-    small = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if small else keys, column, "left_semi")
-
-
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even where it isn't on their path."""
     sc = spark.sparkContext

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig, FtsConfig
-from .functions.terms import literal_datatype, literal_language, literal_value
+from .functions.terms import hash_term, literal_datatype, literal_language, literal_value
 from .operators import facets, pages, vectors
 from .plans.engine import Engine, Plan
+from .plans.graph import StoredGraph
 from .plans.materialize import shared_dir
 from .sources import ntriples, virtual
 from .sources.store import TripleStore, dictionary
@@ -246,6 +247,109 @@ QUERIES |= {"insert_then_query": _inserted, "delete_then_query": _deleted, "stor
 ORACLE_SQL["insert_then_query"] = _with(["customer"], f"{_where(SEGMENT, FURNITURE)} union select '<{B}customer/new>' as s union select '{_q('customer', 1)}'")
 ORACLE_SQL["delete_then_query"] = _with(["customer"], f"{_where(NATION)} and s <> '{_q('customer', 1)}'")
 ORACLE_SQL["stored_fts_facet"] = _with(["customer", "nation", "region"], f"""select count(*) as count, o as value from q where p = '{SEGMENT}' and s in (select t.s from q t join q d on t.o = d.s where d.p = '{LABEL}' and d.o = '"NATION_3"') group by o""")
+# the same questions to the stored graph: hashed, with dictionaries, its results decoded
+_stores: dict[tuple, TripleStore] = {}
+
+
+def _kept_store(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> TripleStore:
+    """One store for each session and set of tables."""
+    at = (spark.sparkContext.applicationId, sf_dir, tables)
+    if at not in _stores:
+        _stores[at] = _store(spark, sf_dir, [*tables])
+    return _stores[at]
+
+
+def _from_store(name: str, tables: list[str], shape: Callable[[StoredGraph, Engine], DataFrame], decode: list[str], sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = _kept_store(spark, sf_dir, tuple(tables))
+        g = store.graph()
+        return g.decoded(shape(g, Engine(g, PLAIN, index=store.index())), decode)
+
+    QUERIES[name] = query
+    ORACLE_SQL[name] = _with(tables, sql)
+
+
+def _s_of(opts: dict) -> Callable[[StoredGraph, Engine], DataFrame]:
+    return lambda g, e: e.plan(opts).matched.select("s")
+
+
+_GEO = ["customer", "nation", "region"]
+_from_store("stored_filter_multi_o", _GEO, _s_of({"filters": [{"p": NATION, "o": " ".join(_two)}]}), ["s"], _where(NATION, _two))
+_from_store("stored_filter_id", _GEO, _s_of({"filters": [{"p": "id", "o": " ".join(_ids)}]}), ["s"], "select distinct s from q where s in (" + ", ".join(f"'{x}'" for x in _ids) + ")")
+_from_store("stored_algebra", _GEO, _s_of({"filters": _abcd}), ["s"], f"select s from ({_where(SEGMENT, FURNITURE)} union (({_where(SEGMENT, BUILDING)}) intersect ({_where(NATION, _two)}))) where s not in ({_where(NATION, _q('nation', 7))})")
+_from_store("stored_hop2", _GEO, _s_of({"filters": [{"p": f"{LABEL} 2", "o": '"ASIA"'}]}), ["s"], f"""select distinct c.s from q r join q n on r.s = n.o join q c on n.s = c.o where r.p = '{LABEL}' and r.o = '"ASIA"'""")
+_from_store("stored_regex", _GEO, _s_of({"filters": [{"p": f"regex {LABEL}", "o": '"NATION_1.*'}]}), ["s"], f"""select distinct s from q where p = '{LABEL}' and o like '"NATION_1%'""")
+_from_store("stored_graph", ["documents"], _s_of({"filters": [{"p": TYPE, "o": f"<{B}Document>", "g": " ".join(_graphs)}]}), ["s"], _where(TYPE, f"<{B}Document>") + f" and g in ('{_graphs[0]}', '{_graphs[1]}')")
+_from_store("stored_fts", ["documents"], lambda g, e: _scored(e.plan({"filters": [{"p": "fts", "o": "under license"}]})), ["s"], _bm25(["under", "license"]) + "select s, round(max(score), 6) as score from q join hit on q.o = hit.key group by s")
+_from_store("stored_total", _GEO, lambda g, e: facets.total(g), [], "select count(distinct s) as total from q")
+_from_store("stored_properties", _GEO, lambda g, e: facets.properties(g), [], "select p as value, count(distinct s) as count from q group by p")
+_from_store("stored_count_by_property", _GEO, lambda g, e: facets.count_by_property(g, NATION), [], f"""select o as value, count(distinct s) as count from q where p = '{NATION}' and o not like '"%' group by o""")
+_from_store("stored_facet_properties", _GEO, lambda g, e: e.plan(_FURN).facet("properties"), [], f"select count(*) as count, p as value from q where {_MATCH} group by p")
+_from_store("stored_facet_iri", _GEO, lambda g, e: e.plan(_FURN).facet(NATION), [], f"select count(*) as count, o as value from q where {_MATCH} and p = '{NATION}' group by o")
+_from_store("stored_facet_graphs", ["documents"], lambda g, e: e.plan({}).facet("graphs"), [], "select count(*) as count, g as value from q where g <> '' group by g")
+_from_store("stored_spo", _GEO, lambda g, e: pages.spo(g, None, SEGMENT, FURNITURE), ["s", "p", "o"], f"select s, p, o from q where p = '{SEGMENT}' and o = '{FURNITURE}'")
+_from_store("stored_sp", _GEO, lambda g, e: pages.sp(g, [_q("customer", 1), _q("nation", 3)]), ["s", "o"], f"select s, o from q where s in ('{_q('customer', 1)}', '{_q('nation', 3)}')")
+_from_store("stored_similar", ["part"], lambda g, e: facets.similar(g, _q("part", 1), 2), ["s"], f"select s, count(*) as shared from q join (select p, o from q where s = '{_q('part', 1)}') d using (p, o) group by s having count(*) > 2")
+_from_store("stored_order_label", _GEO, lambda g, e: e.plan({"filters": [{"p": LABEL}], "size": 30, "order": {"by": "label"}}).ranked().select(F.col("pos").cast("long").alias("pos"), "s"), ["s"], f", lab as (select s, min(lower(regexp_extract(o, '^\"(.+)\"', 1))) as x from q where p = '{LABEL}' group by s) select pos, s from (select row_number() over (order by x) as pos, s from lab) where pos <= 30")
+_from_store("stored_entities", _GEO, lambda g, e: pages.entity_rows(g, e.plan(_FURN).matched.select("s"), e.plan(_FURN).spec).select("s", "p", "o"), ["s", "p", "o"], f"select distinct s, p, o from q where {_MATCH}")
+_from_store("stored_only_properties", _GEO, lambda g, e: pages.entity_rows(g, e.plan(_FURN).matched.select("s"), e.plan(_FURN | {"only_properties": [LABEL]}).spec).select("s", "p", "o"), ["s", "p", "o"], f"select distinct s, p, o from q where {_MATCH} and p = '{LABEL}'")
+_from_store("stored_paths", _GEO, lambda g, e: pages.paths(g, e.plan(_FURN).matched.select("s"), PART_OF).select("s", F.element_at("path", 1).alias("parent"), F.element_at("path", -1).alias("root")), ["s", "parent", "root"], f"select a.s, a.o as parent, b.o as root from q a join q b on a.o = b.s where a.p = '{PART_OF}' and b.p = '{PART_OF}' and a.{_MATCH}")
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An assembled answer, flat again."""
+    store = _kept_store(spark, sf_dir, tuple(_GEO))
+    answer = Engine(store.graph(), PLAIN).query(_FURN | {"size": 10_000, "paths": [PART_OF]})
+    rows = [(e["id"], p, v) for e in answer["results"].values() for p, vs in e.items() if p not in ("id", "graph", "_paths") for v in vs]
+    rows += [(e["id"], "path", " ".join(e["_paths"][PART_OF])) for e in answer["results"].values() if "_paths" in e]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+QUERIES["stored_answer"] = _answered
+ORACLE_SQL["stored_answer"] = _with(_GEO, f"select distinct s, p, o from q where {_MATCH} union all select a.s, 'path', a.o || ' ' || b.o from q a join q b on a.o = b.s where a.p = '{PART_OF}' and b.p = '{PART_OF}' and a.{_MATCH}")
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inserts and deletes say, and how many rows they leave."""
+    store = _store(spark, sf_dir, ["nation"])
+    mine = {"s": _q("nation", 3), "p": TYPE, "o": f"<{B}Nation>"}
+    said = [
+        ("exists", store.insert([mine])),
+        ("other graph", store.insert([mine | {"g": f"<{B}graph/x>"}])),
+        ("default after graph", store.insert([mine])),
+        ("bad row refuses all", store.insert([{"s": "<n>", "p": "<p>", "o": '"1"'}, {"s": '"x"', "p": "<p>", "o": '"1"'}])),
+        ("unknown delete refuses all", store.delete([mine, {"s": "<nobody>"}])),
+        ("delete in default graph", store.delete([mine])),
+    ]
+    rows = store.graph().quads().where(F.col("s") == F.lit(hash_term(_q("nation", 3)))).count()
+    return spark.createDataFrame([(k, "error" if "error" in v else "done", rows) for k, v in said], "step string, outcome string, left long")
+
+
+QUERIES["mutation_rules"] = _refused
+ORACLE_SQL["mutation_rules"] = _with(["nation"], f"select step, outcome, (select count(*) from q where s = '{_q('nation', 3)}') as left from (values ('exists', 'error'), ('other graph', 'done'), ('default after graph', 'error'), ('bad row refuses all', 'error'), ('unknown delete refuses all', 'error'), ('delete in default graph', 'done')) v(step, outcome)").replace(" as left ", ' as "left" ')
+
+
+def _from_files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Quads written to files of a kind, and read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+        q = virtual.quads(spark, sf_dir, ["documents"])
+        line = F.concat_ws(" ", "s", "p", F.regexp_replace("o", "é", r"\\u00E9"), F.lit(".")).alias("value")
+        if kind == "trig":  # a header for each graph, then its triples
+            named = q.select("g", F.lit(1).alias("n"), line).union(q.select("g").distinct().select("g", F.lit(0).alias("n"), F.concat("g", F.lit(" {")).alias("value")))
+            named.repartition(2, "g").sortWithinPartitions("g", "n").select("value").write.text(f"{folder}/x.trig")
+            return ntriples.read(spark, [f"{folder}/x.trig"], True).select("s", "p", F.md5("o").alias("o"), "g")
+        q.select(line).repartition(3).write.option("compression", kind).text(folder)
+        return ntriples.read(spark, [folder]).select("s", "p", F.md5("o").alias("o"), "g")
+
+    return query
+
+
+for _kind, _g in (("gzip", "''"), ("bzip2", "''"), ("trig", "g")):
+    QUERIES[f"read_{_kind}"] = _from_files(_kind)
+    ORACLE_SQL[f"read_{_kind}"] = _with(["documents"], f"select s, p, md5(o) as o, {_g} as g from q")
+
 _add("random_sample", ["customer"], {"filters": [{"p": "id", "o": "random 25"}]}, _subjects, None)
 QUERIES["raw_sql"] = lambda spark, sf_dir: _engine(spark, sf_dir, ["customer", "orders"]).raw(f"select a.o as segment, count(*) as n from triples a join triples b on b.o = a.s where a.p = '{SEGMENT}' and b.p = '{prop('customer')}' group by a.o")
 ORACLE_SQL["raw_sql"] = _with(["customer", "orders"], f"select a.o as segment, count(*) as n from q a join q b on b.o = a.s where a.p = '{SEGMENT}' and b.p = '{prop('customer')}' group by a.o")

@@ -103,11 +103,13 @@ class TripleStore:
 
     # reading
 
-    def _quads(self, m: dict) -> DataFrame:
+    def _quads(self, m: dict, kind: str = "triples") -> DataFrame:
+        """The quads, clustered by predicate and object, or (``subjects``) by subject; small inserts are in both as they are."""
+        names = m.get(kind) or m["triples"]
         if not m["deleted"]:
-            return self._read(m["triples"], QUADS)
+            return self._read(names, QUADS)
         parts = None
-        for i, name in enumerate(m["triples"]):
+        for i, name in enumerate(names):
             df = self._read([name], QUADS)
             later = [d for at, d in m["deleted"] if at > i]
             if later:
@@ -118,7 +120,7 @@ class TripleStore:
     def graph(self, version: int | None = None) -> StoredGraph:
         m = self._manifest(version)
         vecs = self.spark.read.parquet(f"{self.path}/{m['vectors']}") if m["vectors"] else None
-        return StoredGraph(self._quads(m), self._read(m["iris"], TERMS), self._read(m["literals"], TERMS), vecs, str(m["version"]))
+        return StoredGraph(self._quads(m), self._read(m["iris"], TERMS), self._read(m["literals"], TERMS), vecs, str(m["version"]), self._quads(m, "subjects"))
 
     def index(self) -> fts.Index | None:
         """The full-text index; it shows the literals at the last ``reindex``."""
@@ -150,6 +152,7 @@ class TripleStore:
         m = self._manifest()
         terms = dictionary(text)
         m["triples"] = [self._write(encoded(text), "triples", "p", "o")]
+        m["subjects"] = [self._write(self._read(m["triples"], QUADS), "subjects", "s")]
         m["iris"] = [self._write(terms.where(~F.col("value").startswith('"')), "iris", "hash")]
         m["literals"] = [self._write(terms.where(F.col("value").startswith('"')), "literals", "hash")]
         self._commit(m)
@@ -214,7 +217,9 @@ class TripleStore:
             return {"error": "the triples exist already"}
         text = self.spark.createDataFrame(fresh, TEXT_QUADS)
         out = {}
-        m["triples"] = [*m["triples"], self._write(encoded(text).coalesce(1), "triples")]
+        added = self._write(encoded(text).coalesce(1), "triples")
+        m["subjects"] = [*(m.get("subjects") or m["triples"]), added]
+        m["triples"] = [*m["triples"], added]
         for kind, literal in (("iris", False), ("literals", True)):
             terms = dictionary(text).where(F.col("value").startswith('"') == literal)
             mine = [hash_term(x) for r in fresh for x in r if x and x.startswith('"') == literal]
@@ -229,26 +234,32 @@ class TripleStore:
     def delete(self, data: list[dict], are_hashes: bool = False) -> dict:
         """Remove quads: every row of exactly (s, p, o, g); without p or o, of any.  A request that finds nothing refuses the batch."""
         m = self._manifest()
-        quads, gone = self._quads(m), None
-        for row in data:
-            q = quads
+        quads, asked = self._quads(m), []
+        for i, row in enumerate(data):
+            keys = []
             for c in "spog":
                 term = row.get(c)
                 if c == "g" and not term:
                     term = hash_term("") if are_hashes else ""
-                if term is None:
-                    if c == "s":
-                        return {"error": "s is needed"}
-                    continue
-                h = int(term) if are_hashes else hash_term(term)
-                q = q.where(F.col(c) == F.lit(h - (1 << 64) if h >= 1 << 63 else h).cast("long"))
-            if q.isEmpty():
-                return {"error": "the triple doesn't exist"}
-            gone = q if gone is None else gone.union(q)
-        if gone is None:
+                if term is None and c == "s":
+                    return {"error": "s is needed"}
+                h = None if term is None else int(term) if are_hashes else hash_term(term)
+                keys.append(h - (1 << 64) if h is not None and h >= 1 << 63 else h)
+            asked.append((i, *keys))
+        if not asked:
             return {"triples_deleted": 0, "rows_deleted": 0}
-        name = self._write(gone.distinct().coalesce(1), "deleted")
-        removed = quads.join(self._read([name], QUADS), [*"spog"], "left_semi").count()
+        # one job for the batch, which the caller holds in memory
+        batch = self.spark.createDataFrame(asked, "_i long, _s long, _p long, _o long, _g long")
+        fits = [F.col("s") == F.col("_s"), F.col("g") == F.col("_g"), *(F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")) for c in "po")]
+        hit = quads.join(F.broadcast(batch), fits[0] & fits[1] & fits[2] & fits[3])
+        staged = self._write(hit.groupBy(*"spog").agg(F.count("*").alias("n"), F.collect_set("_i").alias("i")), "staged")
+        found = self.spark.read.parquet(f"{self.path}/{staged}")
+        removed = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if found.select(F.explode("i").alias("i")).distinct().count() < len(asked):
+            self._drop(staged)
+            return {"error": "the triple doesn't exist"}
+        name = self._write(found.select(*"spog").coalesce(1), "deleted")
+        self._drop(staged)
         m["deleted"] = [*m["deleted"], [len(m["triples"]), name]]
         self._commit(m)
         return {"triples_deleted": len(data), "rows_deleted": removed}
@@ -258,6 +269,7 @@ class TripleStore:
         m = self._manifest()
         m["triples"] = [self._write(self._quads(m), "triples", "p", "o")]
         m["deleted"] = []
+        m["subjects"] = [self._write(self._read(m["triples"], QUADS), "subjects", "s")]
         current = bool(m["fts"]) and m["fts"]["literals"] == m["literals"]
         for kind in ("iris", "literals"):
             m[kind] = [self._write(self._read(m[kind], TERMS).dropDuplicates(["hash"]), kind, "hash")]
