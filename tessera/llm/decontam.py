@@ -352,7 +352,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str =
                 cols = [batch.column("_key").take(pa.array([m[0] for m in found], pa.int64())), pa.array([x.ids[m[1]] for m in found], kind), *(pa.array([int(m[i]) for m in found], pa.int64()) for i in (2, 3, 4)), pa.array([int(x.bounds[m[1] + 1] - x.bounds[m[1]]) for m in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        part = d.mapInArrow(run, schema)
+        part = d.mapInArrow(K.tidied(run), schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -371,5 +371,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: st
                 keep[[m[0] for c in folded(column) for m in search(held.value, c)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(K.tidied(run), docs.schema)
     return docs

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kernel as K
 from .store import ship
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,4 +259,4 @@ def scan(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
             texts = [extract(h) for h in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(run, schema)
+    return pages.select(*dict.fromkeys([*keep, html])).mapInArrow(K.tidied(run), schema)

@@ -8,13 +8,16 @@ an empty text with ``valid`` false.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 18
+KEPT_POWERS = 1 << 20
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=U64)
@@ -43,11 +46,26 @@ def _power(base: int, n: int) -> np.ndarray:
         size = max(n, CHUNK_BYTES + 1)
         have = np.full(size, U64(base), U64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
+        np.multiply.accumulate(have, out=have)
+        if size <= KEPT_POWERS:  # those of a very long text aren't held on to
+            _powers[base] = have
     return have[:n]
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and then what it freed goes back to the system: Python workers live longer than tasks."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # not every C library has it
+                trim(0)
+
+    return both
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", key: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(found, pa.binary())], names=schema.names)
 
     sample = drawn.withColumn("_rank", rank).where(F.col("_rank") <= each).select("key", F.col("_lang").cast("string").alias("lang"), "text")
-    rows = sample.mapInArrow(run, schema).orderBy("key", "lang", F.md5("counts")).collect()  # MAX_FIT_ROWS, or one a language
+    rows = sample.mapInArrow(K.tidied(run), schema).orderBy("key", "lang", F.md5("counts")).collect()  # MAX_FIT_ROWS, or one a language
     if not rows:
         return None
     return train(np.stack([np.frombuffer(r["counts"], np.uint16) for r in rows]), [r["lang"] for r in rows])
@@ -168,4 +168,4 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
             names = pa.array([m.languages[i] if g else "und" for i, g in zip(lang.tolist(), ok.tolist())] if m is not None else ["und"] * n, pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), names, pa.array(np.where(ok, score, 0.0)), pa.array(bad | ~ok)], names=schema.names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidied(run), schema)

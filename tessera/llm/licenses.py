@@ -222,4 +222,4 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c, t) for c, t in zip(out, types))], names=[*keep, *(n for n, _ in SCHEMA)])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidied(run), schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from . import kernel as K
 from .store import ship, table
 
 BLOCK = 256
@@ -196,7 +197,7 @@ def cut(d: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["_sid", "_block", "_at", "_key", "_len", "_piece"])
 
     schema = T.StructType([T.StructField("_sid", T.IntegerType()), T.StructField("_block", T.LongType()), T.StructField("_at", T.IntegerType()), T.StructField("_key", key), T.StructField("_len", T.IntegerType()), T.StructField("_piece", T.StringType())])
-    return d.where("_size > 0").select("_sid", "_key", "_offset", "_text").mapInArrow(run, schema)
+    return d.where("_size > 0").select("_sid", "_key", "_offset", "_text").mapInArrow(K.tidied(run), schema)
 
 
 def _used(limit: Column) -> Column:

@@ -96,7 +96,7 @@ def prints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                         rows[i, 3:] = signature(s).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(rows[:, i]) for i in range(rows.shape[1]))], names=schema.names)
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(K.tidied(run), schema)
 
 
 def _address(s: np.ndarray) -> list[np.uint64]:
@@ -117,7 +117,7 @@ def sets(docs: DataFrame, nodes: DataFrame, key: str, text: str = "text", repeat
             address = pa.array(np.array([_address(s.view(K.U64))[0] for s in found], K.U64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), address, pa.ListArray.from_arrays(ends, values)], schema=pa.schema([("id", batch.schema.field("id").type), ("sa", pa.int64()), ("shingles", pa.list_(pa.field("item", pa.int64(), False)))]))
 
-    out = d.mapInArrow(run, schema).select(F.struct("id", "sa").alias("node"), "shingles")
+    out = d.mapInArrow(K.tidied(run), schema).select(F.struct("id", "sa").alias("node"), "shingles")
     return out.dropDuplicates(["node"]) if repeated else out
 
 
@@ -232,7 +232,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             found = [_address(s) if len(s) else [0, 0] for c in K.chunks(batch.column(batch.schema.get_field_index(t))) for s in shingle_sets(c.lowered())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array([x[0] for x in found], K.U64).view(np.int64)), pa.array([x == [0, 0] for x in found], pa.bool_())], names=[*batch.schema.names, "sa", "bare"])
 
-    some = some.mapInArrow(run, T.StructType([*some.schema.fields, T.StructField("sa", T.LongType()), T.StructField("bare", T.BooleanType())]))
+    some = some.mapInArrow(K.tidied(run), T.StructType([*some.schema.fields, T.StructField("sa", T.LongType()), T.StructField("bare", T.BooleanType())]))
     kept = named.where("kept").select(F.col(key).alias(k), "sa").distinct()
     whole = some.where("not bare").join(kept, [k, "sa"], "left_semi").dropDuplicates([k, "sa"])
     return once.union(whole.union(some.where("bare").select(*whole.columns)).select(*names).toDF(*docs.columns))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import kernel as K
 from . import spans as S
 from .store import ship
 
@@ -172,7 +173,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """A row per row of ``docs``: ``keep``, counts, base digest, spans and their scores (0 to 1, in the order of the spans)."""
     ship(docs.sparkSession)
     schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("scores", T.StringType())])
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(S.scanner(base, extra, BASE, ORDER, keep, text, score), schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidied(S.scanner(base, extra, BASE, ORDER, keep, text, score)), schema)
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -185,4 +186,4 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
             new = pa.array([mask_text(t) for t in batch.column(i).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if k == i else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidied(run), docs.schema)

@@ -119,7 +119,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             counts = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.StructArray.from_arrays(counts, COUNTS)], names=[*keep, STATS])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(K.tidied(run), schema)
 
 
 def features(s: Column | str = STATS) -> dict[str, Column]:

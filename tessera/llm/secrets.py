@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import kernel as K
 from . import spans as S
 from .store import ship, table
 
@@ -72,7 +73,7 @@ def scan(versions: DataFrame, path: str, text: str = "text", ledger: DataFrame |
     repeated = not v.groupBy("_blob", "_at").count().where("count > 1").isEmpty()
     places = v.select("_blob", "_at", "_text")
     todo = (places.dropDuplicates(["_blob", "_at"]) if repeated else places).join(unseen.hint("shuffle_hash"), ["_blob", "_at"], "left_semi")
-    found = todo.select("_blob", "_text").mapInArrow(S.scanner(base, extra, BASE, ORDER, ["_blob"], "_text"), _FOUND)
+    found = todo.select("_blob", "_text").mapInArrow(K.tidied(S.scanner(base, extra, BASE, ORDER, ["_blob"], "_text")), _FOUND)
     fresh = table(found.dropDuplicates(["_blob"]).withColumn("rule_version", F.lit(RULE_VERSION)), "secret-ledger")
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
     none = S.digest("")
