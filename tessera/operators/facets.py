@@ -15,14 +15,15 @@ def total(graph: Graph) -> DataFrame:
 
 def properties(graph: Graph) -> DataFrame:
     """``value, count``: distinct subjects a predicate."""
-    return graph.decoded(graph.quads().groupBy(F.col("p").alias("value")).agg(F.count_distinct("s").alias("count")), ["value"])
+    counted = graph.quads().groupBy(F.col("p").alias("value")).agg(F.count_distinct("s").alias("count"))
+    return graph.decoded(counted, ["value"], iris=["value"])
 
 
 def count_by_property(graph: Graph, predicate: str) -> DataFrame:
     """``value, count``: distinct subjects an object that is no literal."""
     q = graph.quads().where(F.col("p") == graph.key(predicate))
     counted = q.groupBy(F.col("o").alias("value")).agg(F.count_distinct("s").alias("count"))
-    return graph.decoded(graph.is_iri(counted, "value"), ["value"])
+    return graph.decoded(graph.is_iri(counted, "value"), ["value"], iris=["value"])
 
 
 def facet(graph: Graph, name: str, matched: DataFrame | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def facet(graph: Graph, name: str, matched: DataFrame | None = None) -> DataFram
         q = q.where(F.col("p") == graph.key(name))
     if matched is not None:
         q = q.join(matched.select("s"), "s", "left_semi")
-    counted = graph.decoded(q.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count")), ["value"])
+    counted = graph.decoded(q.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count")), ["value"], iris=[] if column == "o" else ["value"])
     return counted.where(F.col("value").isNotNull()).select("count", "value")
 
 

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import hash_term, unsigned_order
+from .materialize import materialized
+
+#: At most so many keys are broadcast to the dictionaries.
+FEW_TERMS = 50_000
 
 
 class Graph:
@@ -26,6 +30,14 @@ class Graph:
     def quads(self) -> DataFrame:
         raise NotImplementedError
 
+    def repeated(self) -> DataFrame:
+        """The quads, some perhaps more than once: for what doesn't count them."""
+        return self.quads()
+
+    def identity(self, c: str) -> list[Column]:
+        """A short key column or more by which the keys of a column can be told apart."""
+        return [F.col(c)]
+
     def by_subject(self) -> DataFrame:
         """The quads, from a copy clustered by subject if there is one."""
         return self.quads()
@@ -45,8 +57,11 @@ class Graph:
         """``key, value`` of the distinct literals, or only those under a predicate."""
         raise NotImplementedError
 
-    def decoded(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
-        """``df`` with the key columns replaced by their terms; null where a dictionary lacks one."""
+    def decoded(self, df: DataFrame, columns: Iterable[str], iris: Iterable[str] = ()) -> DataFrame:
+        """``df`` with the key columns replaced by their terms; null where a dictionary lacks one.
+
+        Columns ``s``, ``p`` and ``g``, and those named in ``iris``, hold no literals.
+        """
         raise NotImplementedError
 
     def is_iri(self, df: DataFrame, column: str) -> DataFrame:
@@ -70,12 +85,19 @@ class Graph:
 class VirtualGraph(Graph):
     inline = True
 
-    def __init__(self, quads: DataFrame, vectors: DataFrame | None = None) -> None:
+    def __init__(self, quads: DataFrame, vectors: DataFrame | None = None, repeated: DataFrame | None = None) -> None:
         self._quads, self._vectors, self.spark = quads, vectors, quads.sparkSession
+        self._repeated = quads if repeated is None else repeated
 
     def quads(self) -> DataFrame:
         return self._quads
 
+    def repeated(self) -> DataFrame:
+        return self._repeated
+
+    def identity(self, c: str) -> list[Column]:
+        return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]  # 128 bits
+
     def key(self, term: str) -> Column:
         return F.lit(term)
 
@@ -86,7 +108,7 @@ class VirtualGraph(Graph):
         q = self._quads if predicate is None else self._quads.where(F.col("p") == predicate)
         return q.where(F.col("o").startswith('"')).select(F.col("o").alias("key"), F.col("o").alias("value")).distinct()
 
-    def decoded(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    def decoded(self, df: DataFrame, columns: Iterable[str], iris: Iterable[str] = ()) -> DataFrame:
         return df
 
     def is_iri(self, df: DataFrame, column: str) -> DataFrame:
@@ -139,14 +161,23 @@ class StoredGraph(Graph):
             out |= {r["hash"]: r["value"] for r in self._terms().where(F.col("hash").isin(*wanted[i : i + 10_000])).collect()}
         return out
 
-    def decoded(self, df: DataFrame, columns: Iterable[str]) -> DataFrame:
-        order, columns = df.columns, list(columns)
-        wanted = df.select(F.explode(F.array(*columns)).alias("hash")).distinct()
-        # one pass over the dictionaries for all columns; a term may stand in both, with the same text
-        names = self._terms().join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("value").alias("value"))
+    def decoded(self, df: DataFrame, columns: Iterable[str], iris: Iterable[str] = ()) -> DataFrame:
+        order, columns, no_literals = df.columns, list(columns), {*"spg", *iris}
+        plain = [c for c in columns if c in no_literals]
+        df = self._looked_up(df, plain, self._iris)
+        return self._looked_up(df, [c for c in columns if c not in plain], self._terms()).select(*order)
+
+    def _looked_up(self, df: DataFrame, columns: list[str], terms: DataFrame) -> DataFrame:
+        """One pass over the dictionaries for all columns; where few terms are wanted, no dictionary is shuffled."""
+        if not columns:
+            return df
+        wanted = materialized(df.select(F.explode(F.array(*columns)).alias("hash")).distinct(), "wanted")
+        few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        # a term may stand in both dictionaries, with the same text
+        names = terms.select("hash", "value").join(F.broadcast(wanted) if few else wanted, "hash", "left_semi").groupBy("hash").agg(F.min("value").alias("value"))
         for c in columns:
             df = df.join(names.select(F.col("hash").alias(c), F.col("value").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
-        return df.select(*order)
+        return df
 
     def is_iri(self, df: DataFrame, column: str) -> DataFrame:
         return df.join(self._iris.select(F.col("hash").alias(column)), column, "left_semi")

@@ -263,7 +263,7 @@ def _from_store(name: str, tables: list[str], shape: Callable[[StoredGraph, Engi
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = _kept_store(spark, sf_dir, tuple(tables))
         g = store.graph()
-        return g.decoded(shape(g, Engine(g, PLAIN, index=store.index())), decode)
+        return g.decoded(shape(g, Engine(g, PLAIN, index=store.index())), decode, iris=["parent", "root"])
 
     QUERIES[name] = query
     ORACLE_SQL[name] = _with(tables, sql)
