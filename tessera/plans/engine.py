@@ -66,6 +66,21 @@ class Plan:
         page = self.ranked() if page is None else page
         return pages.paths(self.graph, page.select("s"), predicate)
 
+    def answers(self) -> DataFrame:
+        """``id, properties, graph, paths`` of every match, without a page: maps of sorted objects and of ancestors by predicate.
+
+        Assembled on the executors, so that the driver needn't hold what all matches have.
+        """
+        rows = pages.entity_rows(self.graph, self.matched.select("s"), self.spec).select("s", "p", "o", "g")
+        each = self.graph.decoded(rows, ["s", "p", "o", "g"]).groupBy("s", "p").agg(F.sort_array(F.collect_set("o")).alias("o"), F.collect_set("g").alias("g"))
+        out = each.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("p", "o"))).alias("properties"), F.array_sort(F.array_remove(F.array_distinct(F.flatten(F.collect_list("g"))), "")).alias("graph"))
+        for i, predicate in enumerate(self.spec.paths):
+            flat = pages.paths(self.graph, self.matched.select("s"), predicate).select("s", F.posexplode_outer("path").alias("i", "o"))
+            ways = self.graph.decoded(flat, ["s", "o"], iris=["o"]).groupBy("s").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "o")))).alias("_w"))
+            out = out.join(ways.select("s", F.transform("_w", lambda x: x["o"]).alias(f"_w{i}")), "s", "left")
+        ways = F.map_from_arrays(F.array(*map(F.lit, self.spec.paths)), F.array(*(f"_w{i}" for i in range(len(self.spec.paths))))) if self.spec.paths else F.create_map().cast("map<string,array<string>>")
+        return out.select(F.col("s").alias("id"), "properties", "graph", F.map_filter(ways, lambda _, w: w.isNotNull()).alias("paths"))
+
 
 class Engine:
     """Queries over a graph.
@@ -123,7 +138,7 @@ class Engine:
         for predicate in plan.spec.paths:
             df = plan.paths(predicate, page)
             flat = df.select("s", F.posexplode_outer("path").alias("i", "o"))
-            for r in sorted(self.graph.decoded(flat, ["s", "o"]).collect(), key=lambda r: r["i"] or 0):
+            for r in sorted(self.graph.decoded(flat, ["s", "o"], iris=["o"]).collect(), key=lambda r: r["i"] or 0):
                 if r["s"] in out:
                     way = out[r["s"]].setdefault("_paths", {}).setdefault(predicate, [])
                     if r["o"] is not None:

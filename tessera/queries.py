@@ -14,7 +14,7 @@ from .functions.terms import hash_term, literal_datatype, literal_language, lite
 from .operators import facets, pages, vectors
 from .plans.engine import Engine, Plan
 from .plans.graph import StoredGraph
-from .plans.materialize import shared_dir
+from .plans.materialize import materialized, shared_dir
 from .sources import ntriples, virtual
 from .sources.store import TripleStore, dictionary
 from .sources.virtual import B, prop
@@ -297,12 +297,12 @@ _from_store("stored_paths", _GEO, lambda g, e: pages.paths(g, e.plan(_FURN).matc
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An assembled answer, flat again."""
+    """The assembled answers of all matches, flat again."""
     store = _kept_store(spark, sf_dir, tuple(_GEO))
-    answer = Engine(store.graph(), PLAIN).query(_FURN | {"size": 10_000, "paths": [PART_OF]})
-    rows = [(e["id"], p, v) for e in answer["results"].values() for p, vs in e.items() if p not in ("id", "graph", "_paths") for v in vs]
-    rows += [(e["id"], "path", " ".join(e["_paths"][PART_OF])) for e in answer["results"].values() if "_paths" in e]
-    return spark.createDataFrame(rows, "s string, p string, o string")
+    found = materialized(Engine(store.graph(), PLAIN).plan(_FURN | {"paths": [PART_OF]}).answers(), "answers")
+    rows = found.select(F.col("id").alias("s"), F.explode("properties").alias("p", "os")).select("s", "p", F.explode("os").alias("o"))
+    ways = found.select(F.col("id").alias("s"), F.lit("path").alias("p"), F.array_join(F.element_at("paths", PART_OF), " ").alias("o"))
+    return rows.union(ways.where(F.col("o").isNotNull()))
 
 
 QUERIES["stored_answer"] = _answered
