@@ -87,12 +87,17 @@ class Index:
 
     @staticmethod
     def build(docs: DataFrame, config: FtsConfig, path: str, partitions: int | None = None) -> Index:
-        """Index ``docs(key, value)`` into tables under ``path``."""
+        """Index ``docs(key, value)``, each key on one row, into tables under ``path``."""
         spark = docs.sparkSession
         ship(spark)
         d = docs.select("key", tokens(F.col("value"), config).alias("t"))
         d.select("key", F.size("t").alias("len")).write.mode("overwrite").parquet(f"{path}/docs")
-        p = d.select("key", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "key").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+        # a key is one row: its terms are counted within the row, as runs of the sorted tokens
+        runs = d.where(F.size("t") > 0).select("key", F.sort_array("t").alias("t"), F.size("t").alias("len"))
+        starts = F.filter(F.sequence(F.lit(1), F.col("len")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+        runs = runs.select("key", "t", "len", F.concat(starts, F.array(F.col("len") + 1)).alias("at"))
+        each = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda j: F.struct(F.element_at("t", F.element_at("at", j)).alias("term"), (F.element_at("at", j + 1) - F.element_at("at", j)).alias("tf")))
+        p = runs.select("key", "len", F.inline(each)).select("term", "key", "tf", "len")
         # ranges cut by term and key: a term of a third of all rows spreads over many files
         p = p.repartitionByRange(*([partitions] if partitions else []), "term", "key").sortWithinPartitions("term", "key")
         p.write.mode("overwrite").parquet(f"{path}/postings")

@@ -20,12 +20,16 @@ from ..config import EngineConfig
 from ..functions.terms import hash_column, hash_term
 from ..operators import fts, vectors
 from ..plans.graph import StoredGraph
+from ..plans.materialize import materialized
 from . import ntriples
 
 QUADS = T.StructType([T.StructField(c, T.LongType()) for c in "spog"])
 TERMS = T.StructType([T.StructField("hash", T.LongType()), T.StructField("value", T.StringType())])
 TEXT_QUADS = T.StructType([T.StructField(c, T.StringType()) for c in "spog"])
 
+#: A literal on more rows than the larger of OFTEN and one in MOST_OFTEN of them is made distinct before it is moved.
+OFTEN, MOST_OFTEN = 1_000, 10_000
+
 
 def encoded(quads: DataFrame) -> DataFrame:
     """Text quads as hashes."""
@@ -92,6 +96,22 @@ class TripleStore:
         df.write.parquet(f"{self.path}/{name}")
         return name
 
+    def _write_literals(self, objects: DataFrame, others: DataFrame) -> str:
+        """The dictionary of the literals ``objects(o)`` and of the terms ``others(hash, value)``, each text moved once.
+
+        Rows go to the ranges of their hashes as they are, and every range drops its repeats; only of literals on very
+        many rows, which would fill a range, is one of each task kept before.
+        """
+        rows = objects.select(hash_column("o").alias("hash"), F.col("o").alias("value"))
+        counted = materialized(rows.groupBy("hash").agg(F.count("*").alias("n")), "counted")
+        least = max(OFTEN, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_OFTEN)
+        often = F.broadcast(counted.where(F.col("n") > least).select("hash"))  # at most MOST_OFTEN
+        every = rows.join(often, "hash", "left_anti").union(rows.join(often, "hash", "left_semi").select("hash", "value").distinct()).union(others)
+        name = f"literals/{uuid.uuid4().hex}"
+        # equal hashes share a range: no further shuffle
+        every.repartitionByRange("hash").groupBy("hash").agg(F.any_value("value").alias("value")).sortWithinPartitions("hash").write.parquet(f"{self.path}/{name}")
+        return name
+
     def _drop(self, name: str) -> None:
         jvm, fs, root = self._fs()
         fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
@@ -147,14 +167,17 @@ class TripleStore:
             return {"duration": 0, "error": "the store already has data"}
         if not isinstance(quads, DataFrame):
             quads = self.spark.createDataFrame([*quads], TEXT_QUADS)
-        staged = self._write(quads, "staged")
+        staged = f"staged/{uuid.uuid4().hex}"
+        quads.write.option("compression", "zstd").parquet(f"{self.path}/{staged}")
         text = self._read([staged], TEXT_QUADS)
         m = self._manifest()
-        terms = dictionary(text)
-        m["triples"] = [self._write(encoded(text), "triples", "p", "o")]
+        # objects alone are mostly literals: literal texts are moved by themselves, once
+        is_literal = F.col("o").startswith('"')
+        terms = dictionary(text.withColumn("o", F.when(~is_literal, F.col("o"))))
+        m["triples"] = [self._write(encoded(text), "triples", "p", "o", "s")]
         m["subjects"] = [self._write(self._read(m["triples"], QUADS), "subjects", "s")]
         m["iris"] = [self._write(terms.where(~F.col("value").startswith('"')), "iris", "hash")]
-        m["literals"] = [self._write(terms.where(F.col("value").startswith('"')), "literals", "hash")]
+        m["literals"] = [self._write_literals(text.where(is_literal).select("o"), terms.where(F.col("value").startswith('"')))]
         self._commit(m)
         self._drop(staged)
         self.reindex()
@@ -267,7 +290,7 @@ class TripleStore:
     def compact(self) -> None:
         """Rewrite all folders into one a table."""
         m = self._manifest()
-        m["triples"] = [self._write(self._quads(m), "triples", "p", "o")]
+        m["triples"] = [self._write(self._quads(m), "triples", "p", "o", "s")]
         m["deleted"] = []
         m["subjects"] = [self._write(self._read(m["triples"], QUADS), "subjects", "s")]
         current = bool(m["fts"]) and m["fts"]["literals"] == m["literals"]
