@@ -10,12 +10,12 @@ from ..plans.graph import Graph
 
 def total(graph: Graph) -> DataFrame:
     """``total``: distinct subjects."""
-    return graph.quads().agg(F.count_distinct("s").alias("total"))
+    return graph.repeated().agg(F.count_distinct(*graph.identity("s")).alias("total"))
 
 
 def properties(graph: Graph) -> DataFrame:
     """``value, count``: distinct subjects a predicate."""
-    counted = graph.quads().groupBy(F.col("p").alias("value")).agg(F.count_distinct("s").alias("count"))
+    counted = graph.repeated().groupBy(F.col("p").alias("value")).agg(F.count_distinct(*graph.identity("s")).alias("count"))
     return graph.decoded(counted, ["value"], iris=["value"])
 
 

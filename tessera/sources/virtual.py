@@ -62,15 +62,15 @@ TABLES: dict[str, tuple[str, str, dict[str, str], bool]] = {
 }
 
 
-def quads(spark: SparkSession, sf_dir: str, tables: list[str]) -> DataFrame:
-    """The quads of some tables; rows with a null part aren't quads."""
+def quads(spark: SparkSession, sf_dir: str, tables: list[str], repeated: bool = False) -> DataFrame:
+    """The quads of some tables; rows with a null part aren't quads.  ``repeated`` leaves equal rows in."""
     parts = []
     for t in tables:
         s, g, props, distinct = TABLES[t]
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         for name, o in props.items():
             q = df.select(F.expr(s).alias("s"), F.lit(prop(name)).alias("p"), F.expr(o).alias("o"), F.expr(g).alias("g")).where("s is not null and o is not null and g is not null")
-            parts.append(q.distinct() if distinct else q)
+            parts.append(q.distinct() if distinct and not repeated else q)
     return reduce(DataFrame.union, parts)
 
 
@@ -79,7 +79,7 @@ def graph(spark: SparkSession, sf_dir: str, tables: list[str]) -> VirtualGraph:
     if "embeddings" in tables:
         s = TABLES["embeddings"][0]
         vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.expr(s).alias("s"), F.col("embedding").alias("vec"))
-    return VirtualGraph(quads(spark, sf_dir, tables), vectors)
+    return VirtualGraph(quads(spark, sf_dir, tables), vectors, quads(spark, sf_dir, tables, True))
 
 
 def sql(tables: list[str]) -> str:
