@@ -329,6 +329,9 @@ QUERIES["mutation_rules"] = _refused
 ORACLE_SQL["mutation_rules"] = _with(["nation"], f"select step, outcome, (select count(*) from q where s = '{_q('nation', 3)}') as left from (values ('exists', 'error'), ('other graph', 'done'), ('default after graph', 'error'), ('bad row refuses all', 'error'), ('unknown delete refuses all', 'error'), ('delete in default graph', 'done')) v(step, outcome)").replace(" as left ", ' as "left" ')
 
 
+FILE_BYTES = 64 << 20
+
+
 def _from_files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     """Quads written to files of a kind, and read again."""
 
@@ -336,11 +339,15 @@ def _from_files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
         folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
         q = virtual.quads(spark, sf_dir, ["documents"])
         line = F.concat_ws(" ", "s", "p", F.regexp_replace("o", "é", r"\\u00E9"), F.lit(".")).alias("value")
-        if kind == "trig":  # a header for each graph, then its triples
-            named = q.select("g", F.lit(1).alias("n"), line).union(q.select("g").distinct().select("g", F.lit(0).alias("n"), F.concat("g", F.lit(" {")).alias("value")))
-            named.repartition(2, "g").sortWithinPartitions("g", "n").select("value").write.text(f"{folder}/x.trig")
+        # files grow in number, not in size: a compressed one is read by one task
+        files = max(3, -(-(q.select(F.sum(F.octet_length(line))).first()[0] or 0) // FILE_BYTES))
+        if kind == "trig":  # a header for each piece of a graph, then its triples
+            pieces = 4 * files
+            heads = q.select("g").distinct().select("g", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)).cast("array<long>")).alias("piece"), F.lit(0).alias("n"), F.concat("g", F.lit(" {")).alias("value"))
+            named = q.select("g", F.pmod(F.xxhash64("s"), F.lit(pieces)).cast("long").alias("piece"), F.lit(1).alias("n"), line).union(heads)
+            named.repartition(files, "g", "piece").sortWithinPartitions("g", "piece", "n").select("value").write.text(f"{folder}/x.trig")
             return ntriples.read(spark, [f"{folder}/x.trig"], True).select("s", "p", F.md5("o").alias("o"), "g")
-        q.select(line).repartition(3).write.option("compression", kind).text(folder)
+        q.select(line).repartition(files).write.option("compression", kind).text(folder)
         return ntriples.read(spark, [folder]).select("s", "p", F.md5("o").alias("o"), "g")
 
     return query
