@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.graph import Graph
-from ..plans.materialize import ship
+from ..plans.materialize import materialized, ship
 
 Embedder = Callable[[list[str]], list[list[float]]]
 BATCH = 96
+#: A key on more rows than the larger of OFTEN and one in MOST_OFTEN of them is joined by broadcast.
+OFTEN, MOST_OFTEN = 10_000, 10_000
+#: Quads for each task that gathers subjects or joins objects.
+TASK_ROWS = 250_000
 
 
 def hashing_embedder(dim: int = 1024) -> Embedder:
@@ -38,10 +42,37 @@ def hashing_embedder(dim: int = 1024) -> Embedder:
 def subject_documents(graph: Graph) -> DataFrame:
     """``s, values``: a subject's own distinct literals, and its direct objects' documents, by tabs."""
     q = graph.quads().select("s", "o")
-    own = q.join(graph.literals().withColumnRenamed("key", "o"), "o").groupBy("s").agg(F.array_join(F.sort_array(F.collect_set("value")), "\n").alias("doc"))
-    below = q.distinct().join(own.withColumnsRenamed({"s": "o", "doc": "below"}), "o").groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("below")), "\n").alias("doc"))
-    both = own.union(below).distinct()
-    return both.groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("doc")), "\t").alias("values"))
+    rows = {True: q, False: q}  # those with a literal, and the others, as far as the keys tell them apart
+    if graph.inline:
+        rows = {x: q.where(F.col("o").startswith('"') == x) for x in rows}
+    often = _often(rows[False])
+    n = 1 + q.count() // TASK_ROWS  # told, so that adaptive execution joins no small partitions to large ones
+    texts = rows[True].withColumn("value", F.col("o")) if graph.inline else _joined(q, graph.literals().withColumnRenamed("key", "o"), often, n)
+    # what one subject has comes together first: subjects repeat within no task before
+    own = texts.select("s", "value").repartition(n, "s").dropDuplicates().groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("own"))
+    linked = _joined(rows[False], own.select(F.col("s").alias("o"), F.col("own").alias("below")), often, n, True)
+    below = linked.select("s", "below").repartition(n, "s").groupBy("s").agg(F.array_join(F.sort_array(F.collect_list("below")), "\n").alias("below"))
+    both = F.array_distinct(F.array_compact(F.array("own", "below")))
+    return own.join(below, "s", "full").select("s", F.array_join(F.sort_array(both), "\t").alias("values"))
+
+
+def _often(rows: DataFrame) -> DataFrame:
+    """``o`` of very many of ``rows(s, o)``: at most MOST_OFTEN keys."""
+    counted = materialized(rows.groupBy("o").agg(F.count("*").alias("n")), "counted")
+    least = max(OFTEN, (counted.agg(F.sum("n")).first()[0] or 0) // MOST_OFTEN)
+    return F.broadcast(counted.where(F.col("n") > least).select("o"))
+
+
+def _joined(rows: DataFrame, values: DataFrame, often: DataFrame, n: int, distinct: bool = False) -> DataFrame:
+    """``rows(s, o)``, made distinct if so told, with ``values(o, ...)``, one row a key.
+
+    Keys that stand on very many rows are joined by broadcast, so that no task gets all rows of one.
+    """
+    few = F.broadcast(materialized(values.join(often, "o", "left_semi"), "often"))
+    light, heavy = rows.join(often, "o", "left_anti"), rows.join(few.select("o"), "o", "left_semi")
+    if distinct:
+        light, heavy = (x.select("s", "o").repartition(n, "s").dropDuplicates() for x in (light, heavy))
+    return light.repartition(n, "o").join(values.repartition(n, "o"), "o").unionByName(heavy.join(few, "o"))
 
 
 def build(documents: DataFrame, embed: Embedder, batch: int = BATCH) -> DataFrame:
